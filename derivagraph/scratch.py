@@ -9,6 +9,7 @@ reads it back; a superseded round is dropped at once, the rest at exit.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.made = 0
+        self.rounds = 0
         self.at: dict[str, str] = {}
         _KEPT.append((spark, self.root))
 
@@ -64,9 +66,17 @@ class Scratch:
             old = self.at.get(name)
             if old:
                 _remove(self.spark, old)
+                self.release()
             self.at[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Shuffle files of superseded rounds go when the driver collects its garbage; a long loop asks for it."""
+        self.rounds += 1
+        if self.rounds % 3 == 0:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.at.pop(name, None)
