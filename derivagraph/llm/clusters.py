@@ -88,7 +88,7 @@ class Clustering:
     def __init__(self, index: Index, min_cos: float = MIN_COS, links: int = LINKS):
         sc = self.sc = index.sc
         self.index = index
-        found = index.leaf_neighbours(index.classes, links, min_cos, linking=True)
+        found = index.leaf_neighbours(None, links, min_cos, linking=True)
         pairs = found.select(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b"), F.col("cos").alias("weight"))
         self.links = sc.cut(pairs.groupBy("a", "b").agg(F.max("weight").alias("weight")))
         self.clusters = markov_clusters(self.links, sc)

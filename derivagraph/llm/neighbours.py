@@ -1,7 +1,7 @@
 """Most similar vectors for every vector: a forest of random-projection trees.
 
-The trees' hyperplanes are fitted on a bounded sample (``SAMPLE`` vectors, those
-with the smallest content hash); every vector is indexed. A query descends all
+The trees' hyperplanes are fitted on a bounded sample (about ``SAMPLE`` vectors,
+those with the smallest content hashes); every vector is indexed. A query descends all
 trees at once with one shared priority queue over their branches, ordered by
 the largest margin passed on the wrong side, and visits the best ``PROBES``
 leaves within ``REACH``; candidates of a leaf are reranked exactly in double precision. Equal
@@ -147,7 +147,9 @@ class Index:
         depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(n, 1) / leaf)))))
         self.depth = depth
         if depth:
-            s = self.classes.orderBy("digest").limit(sample).select("v").toPandas()
+            # content hashes are uniform: those below this one are about ``sample`` classes, whatever n
+            bar = F.lit(bytearray(int(min(1.0, sample / n) * (2**32 - 1)).to_bytes(4, "big")))
+            s = self.classes.filter(F.substring("digest", 1, 4) <= bar).select("v").toPandas()
             self.planes, self.offsets = fit_forest(matrix(s["v"]), depth, trees)
         else:
             self.planes, self.offsets = np.zeros((1, 1, 1), np.float32), np.zeros((1, 1), np.float32)
@@ -167,47 +169,66 @@ class Index:
             self._chunks = {(r["tree"], r["leaf"]): -(-r["count"] // CHUNK) for r in c}
         return self._chunks
 
-    def blocks(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(index rows, query rows), each with bin = tree, leaf and chunk."""
+    def blocks(self, queries: DataFrame | None = None) -> DataFrame:
+        """(bin, role, id, v): each row once per leaf (and chunk) it belongs to or visits.
+
+        Role 0 is an index row, 1 a query, 2 both. Where the classes query
+        themselves a row's own leaves are among those it visits, so it moves
+        there once.
+        """
         planes, offsets, probes, chunks = self.planes, self.offsets, self.probes, self._chunk_counts()
+        span = 1 << (MAX_DEPTH + 1)
 
         def bins(tree, leaf, chunk):
-            return tree + len(planes) * (leaf + (1 << (MAX_DEPTH + 1)) * chunk)
+            return tree + len(planes) * (leaf + span * chunk)
+
+        def own_chunk(ids, tree, leaf):
+            return np.array([int(r) % chunks.get((int(t), int(x)), 1) for r, t, x in zip(ids, tree, leaf, strict=True)], np.int64) if chunks else np.zeros(len(ids), np.int64)
 
         def as_index(batches):
             for b in batches:
                 lf = _leaf_of_each_tree(matrix(b["v"]), planes, offsets)
                 for t in range(lf.shape[1]):
-                    chunk = np.array([int(r) % chunks.get((t, int(x)), 1) for r, x in zip(b["vec_id"], lf[:, t], strict=True)], dtype=np.int64) if chunks else 0
-                    yield pd.DataFrame({"bin": bins(t, lf[:, t], chunk), "id": b["vec_id"], "v": b["v"]})
+                    yield pd.DataFrame({"bin": bins(t, lf[:, t], own_chunk(b["vec_id"], np.full(len(b), t), lf[:, t])), "role": np.zeros(len(b), np.int8), "id": b["vec_id"], "v": b["v"]})
 
-        def as_query(batches):
-            for b in batches:
-                for i in range(0, len(b), 4096):
-                    part = b.iloc[i : i + 4096]
-                    tr, lf, pri = route(matrix(part["v"]), planes, offsets, probes)
-                    near = pri <= REACH
-                    who, tr, lf = np.nonzero(near)[0], tr[near], lf[near]
-                    if chunks:
-                        k = np.array([chunks.get((int(t), int(x)), 1) for t, x in zip(tr, lf, strict=True)])
-                        c = np.concatenate([np.arange(j) for j in k])
-                        who, tr, lf = np.repeat(who, k), np.repeat(tr, k), np.repeat(lf, k)
-                    else:
-                        c = 0
-                    yield pd.DataFrame({"bin": bins(tr, lf, c), "id": part["vec_id"].to_numpy()[who], "v": part["v"].to_numpy()[who]})
-
-        return self.classes.select("vec_id", "v").mapInPandas(as_index, "bin long, id long, v binary"), queries.select("vec_id", "v").mapInPandas(as_query, "bin long, id long, v binary")
-
-    def leaf_neighbours(self, queries: DataFrame, k: int = K, min_cos: float = MIN_COS, linking: bool = False) -> DataFrame:
-        """(q, id, cos): per visited leaf the best ``k`` others of each query, exactly reranked.
+        def as_query(both):
+            def run(batches):
+                for b in batches:
+                    for i in range(0, len(b), 4096):
+                        part = b.iloc[i : i + 4096]
+                        ids, v = part["vec_id"].to_numpy(), part["v"].to_numpy()
+                        tr, lf, pri = route(matrix(part["v"]), planes, offsets, probes)
+                        near = pri <= REACH
+                        own = (pri == 0)[near] & both
+                        who, tr, lf = np.nonzero(near)[0], tr[near], lf[near]
+                        c = np.zeros(len(who), np.int64)
+                        if chunks:
+                            home = own_chunk(ids[who], tr, lf)
+                            k = np.array([chunks.get((int(t), int(x)), 1) for t, x in zip(tr, lf, strict=True)], np.int64)
+                            c = np.concatenate([np.arange(j) for j in k]) if len(k) else c
+                            who, tr, lf, own, home = (np.repeat(a, k) for a in (who, tr, lf, own, home))
+                            own = own & (home == c)
+                        yield pd.DataFrame({"bin": bins(tr, lf, c), "role": np.where(own, 2, 1).astype(np.int8), "id": ids[who], "v": v[who]})
+
+            return run
+
+        schema = "bin long, role byte, id long, v binary"
+        c = self.classes.select("vec_id", "v")
+        if queries is None:
+            return c.mapInPandas(as_query(True), schema)
+        return c.mapInPandas(as_index, schema).unionByName(queries.select("vec_id", "v").mapInPandas(as_query(False), schema))
+
+    def leaf_neighbours(self, queries: DataFrame | None = None, k: int = K, min_cos: float = MIN_COS, linking: bool = False) -> DataFrame:
+        """(q, id, cos): per visited leaf the best ``k`` others of each query (default: of each class), exactly reranked.
 
         ``linking`` adds what keeps the components of the threshold graph whole:
         a spanning forest of each leaf's links, and per query its best link into
         every part of that forest it touches.
         """
 
-        def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        def rank(rows: pd.DataFrame) -> pd.DataFrame:
             qs, ids, cs = [], [], []
+            left, right = rows[rows["role"] != 1], rows[rows["role"] != 0]
             if len(left) and len(right):
                 left = left.sort_values("id", kind="stable")
                 mi, m = left["id"].to_numpy(), matrix(left["v"])
@@ -229,9 +250,8 @@ class Index:
                         qs.extend([qi[j]] * len(take)), ids.extend(mi[take]), cs.extend(s[j][take])
             return pd.DataFrame({"q": np.array(qs, np.int64), "id": np.array(ids, np.int64), "cos": np.array(cs, np.float64)})
 
-        index, asked = self.blocks(queries)
-        n = max(12, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.n * self.probes // 40_000)
-        return index.repartition(n, "bin").groupBy("bin").cogroup(asked.repartition(n, "bin").groupBy("bin")).applyInPandas(rank, "q long, id long, cos double")
+        n = max(12, int(self.classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.n * self.probes // 40_000)
+        return self.blocks(queries).repartition(n, "bin").groupBy("bin").applyInPandas(rank, "q long, id long, cos double")
 
 
 def _forest(m: np.ndarray, min_cos: float) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
@@ -240,14 +260,17 @@ def _forest(m: np.ndarray, min_cos: float) -> tuple[np.ndarray, list[tuple[int,
     Whole fronts are expanded at once, by one matrix product against the rows not reached yet.
     """
     n = len(m)
-    part = np.full(n, -1)
-    open_ = np.ones(n, bool)
+    part = np.arange(n)
+    open_ = np.zeros(n, bool)  # rows with a link, not reached yet
+    for k in range(0, n, 512):
+        s = np.round(m[k : k + 512] @ m.T, 6)
+        s[np.arange(len(s)), k + np.arange(len(s))] = -2
+        open_[k : k + 512] = s.max(1) >= min_cos
     links: list[tuple[int, int, float]] = []
     for i in range(n):
         if not open_[i]:
             continue
         open_[i] = False
-        part[i] = i
         front = np.array([i])
         while len(front):
             rest = np.flatnonzero(open_)
@@ -271,7 +294,7 @@ def _forest(m: np.ndarray, min_cos: float) -> tuple[np.ndarray, list[tuple[int,
 
 def class_neighbours(index: Index, queries: DataFrame | None = None, k: int = K, min_cos: float = MIN_COS) -> DataFrame:
     """(q, id, cos, rank): the best ``k`` other classes of each query class."""
-    found = index.leaf_neighbours(index.classes if queries is None else queries, k, min_cos).distinct()
+    found = index.leaf_neighbours(queries, k, min_cos).distinct()
     w = Window.partitionBy("q").orderBy(F.desc("cos"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
