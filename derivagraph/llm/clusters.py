@@ -19,22 +19,20 @@ from ..operators.components import connected_components
 from ..scratch import Scratch
 from .neighbours import MIN_COS, Index
 
-INFLATION, PRUNE, WIDEST, ROUNDS, SETTLED = 2.0, 1e-3, 16, 12, 0.99
-LINKS = 6
-
-
-def _normal(m: DataFrame) -> DataFrame:
-    total = m.groupBy("col").agg(F.sum("p").alias("t"))
-    return m.join(total, "col").select("col", "row", (F.col("p") / F.col("t")).alias("p"))
+INFLATION, PRUNE, WIDEST, ROUNDS, SETTLED = 2.0, 1e-3, 8, 10, 0.99
+LINKS = 4
 
 
 def _shape(m: DataFrame, inflation: float, prune: float, widest: int) -> DataFrame:
-    """Columns to power ``inflation``, scaled to 1, small entries dropped, the ``widest`` largest kept (a column is settled by them), scaled again."""
+    """Columns to power ``inflation``, scaled to 1, small entries dropped, the ``widest`` largest kept (a column is settled by them), scaled again.
+
+    ``top`` is the column's largest entry. Everything runs on one partitioning by column.
+    """
     col = Window.partitionBy("col")
-    by = col.orderBy(F.desc("p"), "row")
-    m = m.withColumn("p", F.pow("p", inflation)).withColumn("p", F.col("p") / F.sum("p").over(col)).withColumn("at", F.row_number().over(by))
+    m = m.withColumn("p", F.pow("p", inflation)).withColumn("p", F.col("p") / F.sum("p").over(col)).withColumn("at", F.row_number().over(col.orderBy(F.desc("p"), "row")))
     m = m.filter((F.col("at") == 1) | ((F.col("p") >= prune) & (F.col("at") <= widest)))
-    return m.withColumn("p", F.col("p") / F.sum("p").over(col)).select("col", "row", "p")
+    m = m.withColumn("p", F.col("p") / F.sum("p").over(col))
+    return m.select("col", "row", "p", F.max("p").over(col).alias("top"))
 
 
 def markov_clusters(links: DataFrame, scratch: Scratch | None = None, inflation: float = INFLATION, prune: float = PRUNE, widest: int = WIDEST, rounds: int = ROUNDS) -> DataFrame:
@@ -47,29 +45,29 @@ def markov_clusters(links: DataFrame, scratch: Scratch | None = None, inflation:
     """
     sc = scratch or Scratch(links.sparkSession)
     e = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("weight") > 0) & (F.col("a") != F.col("b")))
-    both = e.select(F.col("a").alias("col"), F.col("b").alias("row"), F.col("weight").alias("p")).union(e.select("b", "a", "weight"))
+    both = e.select(F.col("a").alias("col"), F.col("b").alias("row"), F.col("weight").alias("p")).union(e.select("b", "a", "weight")).repartition("col")
     both = both.groupBy("col", "row").agg(F.max("p").alias("p"))
-    loops = both.groupBy("col").agg(F.max("p").alias("p")).select("col", F.col("col").alias("row"), "p")
-    m = sc.cut(_shape(both.union(loops), 1.0, 0.0, 2 * widest), "flow")
+    # a loop as strong as the column's strongest link
+    loops = both.withColumn("m", F.max("p").over(Window.partitionBy("col"))).select("col", F.explode(F.array(F.struct("row", "p"), F.struct(F.col("col").alias("row"), F.col("m").alias("p")))).alias("x"))
+    m = sc.cut(_shape(loops.select("col", "x.row", "x.p").groupBy("col", "row").agg(F.max("p").alias("p")), 1.0, 0.0, widest), "flow")
     for _ in range(rounds):
-        open_ = m.groupBy("col").agg(F.max("p").alias("top")).filter(F.col("top") < SETTLED)
-        if open_.limit(1).count() == 0:
+        moving, still = m.filter(F.col("top") < SETTLED), m.filter(F.col("top") >= SETTLED)
+        if moving.limit(1).count() == 0:
             break
-        moving, still = m.join(open_.select("col"), "col", "left_semi"), m.join(open_.select("col"), "col", "left_anti")
         # (M x M)[i, j] = sum over k of M[i, k] M[k, j]; a row k may be an attractor of very many columns, its own column stays narrow
         sq = moving.select("col", F.col("row").alias("k"), F.col("p").alias("p1")).join(m.select(F.col("col").alias("k"), "row", F.col("p").alias("p2")), "k")
-        sq = sq.groupBy("col", "row").agg(F.sum(F.col("p1") * F.col("p2")).alias("p"))
+        sq = sq.select("col", "row", (F.col("p1") * F.col("p2")).alias("p")).repartition("col").groupBy("col", "row").agg(F.sum("p").alias("p"))
         m = sc.cut(_shape(sq, inflation, prune, widest).unionByName(still), "flow")
     top = m.groupBy("col").agg(F.max_by("row", F.struct(F.round("p", 9).alias("p"), (-F.col("row")).alias("r"))).alias("hub"))
     # an attractor of attractors: follow hubs until they stand for themselves
     top = sc.cut(top, "hub")
     for _ in range(20):
-        step = sc.cut(top.join(top.select(F.col("col").alias("hub"), F.col("hub").alias("hub2")), "hub").select("col", "hub", F.least("hub2", F.when(F.col("hub2") == F.col("col"), F.col("col")).otherwise(F.col("hub2"))).alias("hub2")), "step")
+        step = sc.cut(top.join(top.select(F.col("col").alias("hub"), F.col("hub").alias("hub2")), "hub").select("col", "hub", "hub2"), "step")
         moved = step.filter("hub <> hub2").limit(1).count()
-        # two hubs that point at each other settle on the smaller one
-        top = sc.cut(step.select("col", F.when(F.col("hub2") == F.col("col"), F.least("hub", "col")).otherwise(F.col("hub2")).alias("hub")), "hub")
         if not moved:
             break
+        # two hubs that point at each other settle on the smaller one
+        top = sc.cut(step.select("col", F.when(F.col("hub2") == F.col("col"), F.least("hub", "col")).otherwise(F.col("hub2")).alias("hub")), "hub")
     flow = m.groupBy(F.col("row").alias("col")).agg(F.sum("p").alias("flow"))
     return sc.cut(top.join(flow, "col", "left").select(F.col("col").alias("node"), F.col("hub").alias("cluster"), F.coalesce("flow", F.lit(0.0)).alias("flow")))
 
@@ -88,10 +86,12 @@ class Clustering:
     def __init__(self, index: Index, min_cos: float = MIN_COS, links: int = LINKS):
         sc = self.sc = index.sc
         self.index = index
-        found = index.leaf_neighbours(None, links, min_cos, linking=True)
-        pairs = found.select(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b"), F.col("cos").alias("weight"))
-        self.links = sc.cut(pairs.groupBy("a", "b").agg(F.max("weight").alias("weight")))
-        self.clusters = markov_clusters(self.links, sc)
+        found = sc.cut(index.leaf_neighbours(None, links, min_cos, linking=True))
+        # flow runs along each vector's best links; the ties that keep linked sets whole are for the contraction
+        w = Window.partitionBy("q").orderBy(F.desc("cos"), "id")
+        best = found.groupBy("q", "id").agg(F.max("cos").alias("cos")).withColumn("at", F.row_number().over(w)).filter(F.col("at") <= links)
+        self.links = found.filter("tie").select(F.col("q").alias("a"), F.col("id").alias("b"))
+        self.clusters = markov_clusters(best.select(F.col("q").alias("a"), F.col("id").alias("b"), F.col("cos").alias("weight")), sc)
 
     def flow_members(self) -> DataFrame:
         """(vec_id, cluster, flow): every vector; one without a link is a cluster of its own class."""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-SAMPLE, TREES, PROBES, LEAF, MAX_DEPTH, CHUNK = 20_000, 2, 6, 2_400, 12, 8_000
+SAMPLE, TREES, PROBES, LEAF, MAX_DEPTH, CHUNK = 20_000, 2, 5, 4_000, 12, 10_000
 #: A branch is visited only if no hyperplane was passed on its wrong side by more than this.
 REACH = 0.06
 MIN_COS, K = 0.87, 5
@@ -221,13 +221,13 @@ class Index:
     def leaf_neighbours(self, queries: DataFrame | None = None, k: int = K, min_cos: float = MIN_COS, linking: bool = False) -> DataFrame:
         """(q, id, cos): per visited leaf the best ``k`` others of each query (default: of each class), exactly reranked.
 
-        ``linking`` adds what keeps the components of the threshold graph whole:
-        a spanning forest of each leaf's links, and per query its best link into
-        every part of that forest it touches.
+        ``linking`` adds what keeps the components of the threshold graph whole,
+        marked by a column ``tie``: a spanning forest of each leaf's links, and per
+        query from elsewhere its best link into every part of that forest.
         """
 
         def rank(rows: pd.DataFrame) -> pd.DataFrame:
-            qs, ids, cs = [], [], []
+            qs, ids, cs, ties = [], [], [], []
             left, right = rows[rows["role"] != 1], rows[rows["role"] != 0]
             if len(left) and len(right):
                 left = left.sort_values("id", kind="stable")
@@ -235,23 +235,27 @@ class Index:
                 part = _forest(m, min_cos) if linking else None
                 if linking:
                     for a, b, c in part[1]:
-                        qs.append(mi[a]), ids.append(mi[b]), cs.append(c)
+                        qs.append(mi[a]), ids.append(mi[b]), cs.append(c), ties.append(True)
                 for i in range(0, len(right), 1024):
                     r = right.iloc[i : i + 1024]
+                    home = (r["role"] == 2).to_numpy()
                     qi, s = r["id"].to_numpy(), np.round(matrix(r["v"]) @ m.T, 6)
                     s[qi[:, None] == mi[None, :]] = -2
                     for j in np.flatnonzero((s >= min_cos).any(1)):
                         c = np.flatnonzero(s[j] >= min_cos)
                         c = c[np.argsort(-s[j][c], kind="stable")]  # ids ascend, so ties go to the smaller
                         take = c[:k]
-                        if linking:
-                            _, at = np.unique(part[0][c], return_index=True)
-                            take = np.union1d(take, c[at])
-                        qs.extend([qi[j]] * len(take)), ids.extend(mi[take]), cs.extend(s[j][take])
-            return pd.DataFrame({"q": np.array(qs, np.int64), "id": np.array(ids, np.int64), "cos": np.array(cs, np.float64)})
+                        tie = np.zeros(len(take), bool)
+                        if linking and not home[j]:
+                            at = c[np.unique(part[0][c], return_index=True)[1]]
+                            take = np.union1d(take, at)
+                            tie = np.isin(take, at)
+                        qs.extend([qi[j]] * len(take)), ids.extend(mi[take]), cs.extend(s[j][take]), ties.extend(tie.tolist())
+            out = {"q": np.array(qs, np.int64), "id": np.array(ids, np.int64), "cos": np.array(cs, np.float64)}
+            return pd.DataFrame(out | {"tie": np.array(ties, bool)} if linking else out)
 
         n = max(12, int(self.classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.n * self.probes // 40_000)
-        return self.blocks(queries).repartition(n, "bin").groupBy("bin").applyInPandas(rank, "q long, id long, cos double")
+        return self.blocks(queries).repartition(n, "bin").groupBy("bin").applyInPandas(rank, "q long, id long, cos double" + ", tie boolean" * linking)
 
 
 def _forest(m: np.ndarray, min_cos: float) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
