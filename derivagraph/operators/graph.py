@@ -65,49 +65,60 @@ def component_stats(components: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
     """(word, component) of every word on an edge, ``component`` its strong component's smallest word.
 
-    Words without an edge in or out are trimmed off round by round; of what stays,
-    every word takes the smallest word that reaches it (colouring by forward
-    propagation), and of each colour what reaches its first word backwards is one
-    component; repeated until nothing stays.
+    Words that point at each other are one first, as connected components of the
+    mutual pairs. Of the contracted graph, nodes without an edge in or out are
+    trimmed off, several levels to a round; of what stays, every node takes the
+    smallest node that reaches it (colouring), and of each colour what reaches its
+    first node backwards is one component; repeated until nothing stays.
     """
-    e = scratch.cut(simple_pairs(edges).select(F.col("source").alias("a"), F.col("target").alias("b")))
-    words = scratch.cut(e.select(F.col("a").alias("word")).union(e.select("b")).distinct())
+    pairs = simple_pairs(edges)
+    ids = word_ids(pairs.select(F.col("source").alias("word")).union(pairs.select("target")), scratch)
+    e = pairs.join(ids.select(F.col("word").alias("source"), F.col("id").alias("a")), "source").join(ids.select(F.col("word").alias("target"), F.col("id").alias("b")), "target")
+    e = scratch.cut(e.select("a", "b"))
+    mutual = e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).filter("a < b")
+    first = scratch.cut(connected_components(mutual, scratch))
+    name = scratch.cut(ids.join(first.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "word", F.coalesce("component", "id").alias("node")))
+    at = name.select("id", "node")
+    left = e.join(at.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(at.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
+    left = scratch.cut(left.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "left")
     done = None
-    left = scratch.cut(e.filter("a <> b"), "left")
     for _ in range(max_rounds):
         n = left.count()
         while n:  # trim
-            left = scratch.cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "left")
+            t = left
+            for _ in range(4):
+                t = t.join(t.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(t.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+            left = scratch.cut(t, "left")
             m = left.count()
             if m == n:
                 break
             n = m
         if not n:
             break
-        live = left.select(F.col("a").alias("word")).union(left.select("b")).distinct()
-        colour = scratch.cut(live.withColumn("c", F.col("word")), "colour")
-        while True:  # forward: the smallest word upstream
-            best = left.join(colour.select(F.col("word").alias("a"), "c"), "a").groupBy(F.col("b").alias("word")).agg(F.min("c").alias("c2"))
-            nxt = scratch.cut(colour.join(best, "word", "left").select("word", F.least("c", F.coalesce("c2", "c")).alias("c"), (F.coalesce("c2", "c") < F.col("c")).alias("moved")), "next")
+        colour = scratch.cut(left.select(F.col("a").alias("v")).union(left.select("b")).distinct().withColumn("c", F.col("v")), "colour")
+        while True:  # forward: the smallest node upstream
+            best = left.join(colour.select(F.col("v").alias("a"), "c"), "a").groupBy(F.col("b").alias("v")).agg(F.min("c").alias("c2"))
+            nxt = scratch.cut(colour.join(best, "v", "left").select("v", F.least("c", F.coalesce("c2", "c")).alias("c"), (F.coalesce("c2", "c") < F.col("c")).alias("moved")), "next")
             moved = nxt.filter("moved").limit(1).count()
-            colour = scratch.cut(nxt.select("word", "c"), "colour")
+            colour = scratch.cut(nxt.select("v", "c"), "colour")
             if not moved:
                 break
-        same = left.join(colour.select(F.col("word").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("word").alias("b"), F.col("c").alias("cb")), "b").filter("ca = cb").select("a", "b", F.col("ca").alias("c"))
+        same = left.join(colour.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").filter("ca = cb").select("a", "b", F.col("ca").alias("c"))
         same = scratch.cut(same, "same")
-        back = scratch.cut(colour.filter("word = c"), "back")
+        back = scratch.cut(colour.filter("v = c"), "back")
         while True:  # backward within the colour
-            more = scratch.cut(same.join(back.select(F.col("word").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("word"), "c").distinct().join(back, ["word", "c"], "left_anti"), "more")
+            more = scratch.cut(same.join(back.select(F.col("v").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("v"), "c").distinct().join(back, ["v", "c"], "left_anti"), "more")
             if more.limit(1).count() == 0:
                 break
             back = scratch.cut(back.unionByName(more), "back")
-        found = scratch.cut(back.select("word", F.col("c").alias("component")))
+        found = scratch.cut(back.select(F.col("v").alias("node"), F.col("c").alias("top")))
         done = found if done is None else done.unionByName(found)
-        gone = found.select("word")
-        left = scratch.cut(left.join(gone.select(F.col("word").alias("a")), "a", "left_anti").join(gone.select(F.col("word").alias("b")), "b", "left_anti").select("a", "b"), "left")
-    alone = words if done is None else words.join(done.select("word"), "word", "left_anti")
-    alone = alone.select("word", F.col("word").alias("component"))
-    return alone if done is None else alone.unionByName(done)
+        gone = found.select("node")
+        left = scratch.cut(left.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "left")
+    if done is not None:
+        name = name.join(done, "node", "left").select("word", F.coalesce("top", "node").alias("node"))
+    low = name.groupBy("node").agg(F.min("word").alias("component"))
+    return name.join(low, "node").select("word", "component")
 
 
 def bfs(edges: DataFrame, roots: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
