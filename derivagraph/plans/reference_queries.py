@@ -714,7 +714,7 @@ def h12_crawl(spark, d):
 
     pages = curate.keep_first(_pages(spark, d).filter("title <> ''").select(F.col("title").alias("word"), "page", "doc_id"), ["word"], ["doc_id"]).select("word", "page")
     seeds = pages.select("word")
-    edges, _ = crawl(pages, seeds, _lexicon(spark, d).words, Scratch(spark), max_rounds=3)
+    edges, _ = crawl(pages, seeds, _lexicon(spark, d).words, Scratch(spark), max_rounds=2)
     return edges.select("source", "relation", "target")
 
 
@@ -1033,4 +1033,85 @@ def l3_worst_positives(spark, d):
     return s.orderBy("score", "source", "target").limit(20).withColumn("kind", F.lit("missed"))
 
 
+
+# ---- J: learning; results without an oracle in SQL ---------------------------------------------------------------------
+@query()
+def j1_char_cnn(spark, d):
+    import numpy as np
+
+    from ..operators.features import trigram_ids, trigram_vocabulary
+
+    w = _nodes(spark, d).select("word").distinct()
+    rng = np.random.default_rng(42)
+    ids = trigram_ids(w, trigram_vocabulary(w))
+    return layers.char_cnn(ids, {3: rng.standard_normal((32, 3, 16)) * 0.1, 5: rng.standard_normal((32, 5, 16)) * 0.1}, rng.standard_normal((6001, 16))).select("word", F.size("vec").alias("dim"))
+
+
+@query()
+def j9_train_link_predictor(spark, d):
+    from ..operators.training import train_link_predictor
+
+    v, e = _jg(spark, d)
+    sc = Scratch(spark)
+    e = sc.cut(e.select(F.col("src").alias("source"), F.col("dst").alias("target")))
+    neg = sc.cut(sampling.hard_negatives(e, v.select("word", F.lit("unknown").alias("pos")), tries=4).filter("valid"))
+    val = e.withColumn("label", F.lit(1)).unionByName(neg.select("source", F.col("negative").alias("target"), F.lit(0).alias("label")))
+    m = train_link_predictor(e, neg, v, val, 64, epochs=4, every=4)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.losses)], "epoch int, loss double")
+
+
+@query()
+def j11_pos_head(spark, d):
+    from ..operators.training import train_head
+
+    n = _nodes(spark, d).groupBy("word").agg(F.min("pos").alias("pos"))
+    ids = curate.label_ids(n, "pos")
+    k = ids.count()
+    x = _vectors(spark, d).join(n, "word").join(F.broadcast(ids.select(F.col("label").alias("pos"), "label_id")), "pos")
+    _, losses = train_head(x.select(F.col("vec").alias("x"), F.when(F.col("pos").isin("", "unknown"), -1).otherwise(F.col("label_id")).alias("y")), 64, k, epochs=5)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "epoch int, loss double")
+
+
+@query()
+def j14_walk_embedding(spark, d):
+    from ..operators.embed import walk_embedding
+
+    return walk_embedding(_small(spark, d), walks=2, length=10, dim=16).select("word", F.size("vec").alias("dim"))
+
+
+@query()
+def j15_subword_embedding(spark, d):
+    from ..operators.embed import subword_embedding
+
+    return subword_embedding(_vectors(spark, d), _nodes(spark, d).select("word"), 64).select("word", F.size("vec").alias("dim"))
+
+
+@query()
+def j16_text_embedding(spark, d):
+    from ..operators.embed import hashed_text_provider, text_embedding
+
+    return text_embedding(curate.keep_first(_nodes(spark, d).select("word", "definition_hy", "node_id"), ["word"], ["node_id"]), hashed_text_provider(64), 64).select("word", F.size("vec").alias("dim"))
+
+
+@query()
+def j17_pca(spark, d):
+    from ..operators.embed import pca
+
+    return pca(_vectors(spark, d), 16, 32).select("word", F.size("vec").alias("dim"))
+
+
+@query()
+def j18_kmeans(spark, d):
+    from ..operators.embed import kmeans
+
+    return kmeans(_vectors(spark, d), 10, starts=2)
+
+
+@query()
+def j19_tsne(spark, d):
+    from ..operators.embed import tsne
+
+    return tsne(_vectors(spark, d), steps=100)
+
+
 __all__ = ["ORACLES", "QUERIES", "connected_components", "draw"]
