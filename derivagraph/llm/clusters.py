@@ -19,7 +19,7 @@ from ..operators.components import connected_components
 from ..scratch import Scratch
 from .neighbours import MIN_COS, Index
 
-INFLATION, PRUNE, WIDEST, ROUNDS, SETTLED = 2.0, 1e-3, 8, 10, 0.99
+INFLATION, PRUNE, WIDEST, ROUNDS, SETTLED = 2.0, 1e-3, 8, 10, 0.95
 LINKS = 4
 
 

@@ -25,6 +25,8 @@ SAMPLE, TREES, PROBES, LEAF, MAX_DEPTH, CHUNK = 20_000, 2, 5, 4_000, 12, 10_000
 #: A branch is visited only if no hyperplane was passed on its wrong side by more than this.
 REACH = 0.06
 MIN_COS, K = 0.87, 5
+#: Far more than the error of a cosine in single precision.
+SLACK = 1e-4
 
 
 _UNIT = float((1 << 23) - 1)
@@ -238,21 +240,28 @@ class Index:
                 if linking:
                     for a, b, c in part[1]:
                         qs.append(mi[a]), ids.append(mi[b]), cs.append(c), ties.append(True)
+                m32 = m.astype(np.float32)
                 for i in range(0, len(right), 1024):
                     r = right.iloc[i : i + 1024]
                     home = (r["role"] == 2).to_numpy()
-                    qi, s = r["id"].to_numpy(), np.round(matrix(r["v"]) @ m.T, 6)
-                    s[qi[:, None] == mi[None, :]] = -2
-                    for j in np.flatnonzero((s >= min_cos).any(1)):
-                        c = np.flatnonzero(s[j] >= min_cos)
-                        c = c[np.argsort(-s[j][c], kind="stable")]  # ids ascend, so ties go to the smaller
-                        take = c[:k]
+                    qi, q = r["id"].to_numpy(), matrix(r["v"])
+                    near = q.astype(np.float32) @ m32.T >= min_cos - SLACK  # what single precision cannot rule out is computed exactly
+                    for j in np.flatnonzero(near.sum(1) > home):
+                        c = np.flatnonzero(near[j])
+                        c = c[mi[c] != qi[j]]
+                        s = np.round(m[c] @ q[j], 6)
+                        c, s = c[s >= min_cos], s[s >= min_cos]
+                        if not len(c):
+                            continue
+                        o = np.argsort(-s, kind="stable")  # ids ascend, so ties go to the smaller
+                        c, s = c[o], s[o]
+                        take = np.arange(min(k, len(c)))
                         tie = np.zeros(len(take), bool)
                         if linking and not home[j]:
-                            at = c[np.unique(part[0][c], return_index=True)[1]]
+                            at = np.unique(part[0][c], return_index=True)[1]
                             take = np.union1d(take, at)
                             tie = np.isin(take, at)
-                        qs.extend([qi[j]] * len(take)), ids.extend(mi[take]), cs.extend(s[j][take]), ties.extend(tie.tolist())
+                        qs.extend([qi[j]] * len(take)), ids.extend(mi[c[take]]), cs.extend(s[take]), ties.extend(tie.tolist())
             out = {"q": np.array(qs, np.int64), "id": np.array(ids, np.int64), "cos": np.array(cs, np.float64)}
             return pd.DataFrame(out | {"tie": np.array(ties, bool)} if linking else out)
 
@@ -268,10 +277,9 @@ def _forest(m: np.ndarray, min_cos: float) -> tuple[np.ndarray, list[tuple[int,
     n = len(m)
     part = np.arange(n)
     open_ = np.zeros(n, bool)  # rows with a link, not reached yet
+    m32 = m.astype(np.float32)
     for k in range(0, n, 512):
-        s = np.round(m[k : k + 512] @ m.T, 6)
-        s[np.arange(len(s)), k + np.arange(len(s))] = -2
-        open_[k : k + 512] = s.max(1) >= min_cos
+        open_[k : k + 512] = (m32[k : k + 512] @ m32.T >= min_cos - SLACK).sum(1) > 1
     links: list[tuple[int, int, float]] = []
     for i in range(n):
         if not open_[i]:
