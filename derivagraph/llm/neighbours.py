@@ -272,38 +272,36 @@ class Index:
 def _forest(m: np.ndarray, min_cos: float) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
     """(part of each row, links (a, b, cos) of a spanning forest) of the graph of rows with cosine >= min_cos.
 
-    Whole fronts are expanded at once, by one matrix product against the rows not reached yet.
+    Links are found once, by blocks in single precision with an exact second look
+    at what lies within its error; whole fronts are then expanded at once.
     """
     n = len(m)
     part = np.arange(n)
-    open_ = np.zeros(n, bool)  # rows with a link, not reached yet
     m32 = m.astype(np.float32)
+    adj = np.empty((n, n), bool)
     for k in range(0, n, 512):
-        open_[k : k + 512] = (m32[k : k + 512] @ m32.T >= min_cos - SLACK).sum(1) > 1
-    links: list[tuple[int, int, float]] = []
+        s = m32[k : k + 512] @ m32.T
+        adj[k : k + 512] = s >= min_cos
+        i, j = np.nonzero(np.abs(s - min_cos) <= SLACK)
+        adj[k + i, j] = np.round((m[k + i] * m[j]).sum(1), 6) >= min_cos
+    adj[np.arange(n), np.arange(n)] = False
+    open_ = adj.any(1)  # rows with a link, not reached yet
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(n):
         if not open_[i]:
             continue
         open_[i] = False
         front = np.array([i])
         while len(front):
-            rest = np.flatnonzero(open_)
-            if not len(rest):
-                break
-            best, frm = np.full(len(rest), -2.0), np.zeros(len(rest), int)
-            for k in range(0, len(front), 512):
-                s = np.round(m[rest] @ m[front[k : k + 512]].T, 6)
-                j = s.argmax(1)
-                top = s[np.arange(len(rest)), j]
-                better = top > best
-                best[better], frm[better] = top[better], front[k + j[better]]
-            hit = best >= min_cos
-            new = rest[hit]
-            links += list(zip(frm[hit].tolist(), new.tolist(), best[hit].tolist(), strict=True))
+            reach = adj[front] & open_
+            new = np.flatnonzero(reach.any(0))
+            ends.append((front[reach[:, new].argmax(0)], new))
             part[new] = i
             open_[new] = False
             front = new
-    return part, links
+    a, b = (np.concatenate(x) if ends else np.zeros(0, int) for x in (([e[0] for e in ends] or [np.zeros(0, int)]), ([e[1] for e in ends] or [np.zeros(0, int)])))
+    cos = np.round((m[a] * m[b]).sum(1), 6)
+    return part, list(zip(a.tolist(), b.tolist(), cos.tolist(), strict=True))
 
 
 def class_neighbours(index: Index, queries: DataFrame | None = None, k: int = K, min_cos: float = MIN_COS) -> DataFrame:
