@@ -105,6 +105,10 @@ class Clustering:
         big = m.groupBy("part").agg(F.min("vec_id").alias("cluster_first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
         return m.join(big.select("part", "cluster_first"), "part").select("cluster_first", "vec_id")
 
+    def set_members(self, least: int = 3) -> DataFrame:
+        """(vec_id, cluster, flow): members of the largest linked sets, ``cluster`` the set's smallest vec_id; the flow ranks members and splits no set."""
+        return self.sets(least).withColumnRenamed("cluster_first", "cluster").join(self.flow_members().select("vec_id", "flow"), "vec_id").select("vec_id", "cluster", "flow")
+
 
 def describe_clusters(members: DataFrame, words: DataFrame, pos_of: DataFrame, typical: int = 3, least: int = 3) -> DataFrame:
     """Size, most typical words with their part of speech, and most frequent part of speech of each cluster.

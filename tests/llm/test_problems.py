@@ -154,6 +154,20 @@ def test_clusters_equal_the_linked_sets(spark, monkeypatch):
     assert (told.n_members >= 3).all() and told.typical_words.str.len().gt(0).all()
 
 
+def test_cluster_report_tells_whole_linked_sets(spark, tmp_path):
+    from derivagraph.llm import queries
+
+    v = np.zeros((66, 64), np.float32)
+    for i in range(60):  # a chain: each vector is linked to the ones before and after only, so the flow splits what links hold together
+        v[i, i // 4], v[i, i // 4 + 1] = np.cos(i % 4 * np.pi / 8), np.sin(i % 4 * np.pi / 8)
+    v[60:63, 40], v[63:65, 45], v[65, 50] = 1, 1, 1
+    df, _ = vector_frame(spark, v)
+    df.write.parquet(f"{tmp_path}/embeddings_gcn.parquet")
+    spark.createDataFrame([(1, "w0", "noun", "2024-01-01")], "node_id long, word string, pos string, scraped_at string").write.parquet(f"{tmp_path}/nodes.parquet")
+    got = {r["cluster"]: r["n_members"] for r in queries.p5_clusters(spark, str(tmp_path)).collect()}
+    assert got == {0: 60, 60: 3}
+
+
 def test_vectors_of_nothing(spark):
     df, cols = vector_frame(spark, np.zeros((1, 64), np.float32))
     ix = neighbours.Index(neighbours.vector_table(df, cols))
