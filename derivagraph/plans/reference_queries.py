@@ -284,11 +284,17 @@ _BACK = f"""forms AS (SELECT * FROM {_values(rules.root_variants(), 'stem, form,
 
 
 @query(f"WITH {_KNOWN}, {_BACK} SELECT f.stem AS variant, min(k.word) AS noun FROM known k JOIN (SELECT stem, form FROM forms UNION SELECT word, word FROM known) f ON f.form = k.word WHERE k.pos = 'noun' AND length(f.stem) <= 4 GROUP BY f.stem")
+def c9_reverse_lookup_short(spark, d):
+    """The rows of c9_reverse_lookup that its SQL is written for."""
+    return c9_reverse_lookup(spark, d).filter(F.length("variant") <= 4)
+
+
+@query()
 def c9_reverse_lookup(spark, d):
     lex = _lexicon(spark, d)
     k = lex.known.filter("pos = 'noun'").select(F.col("word").alias("noun"))
     v = lex.variants(lex.known.select("word").union(spark.createDataFrame([(s,) for s in dict.fromkeys(r[0] for r in rules.root_variants())], "word string")).distinct(), "word", "noun")
-    return v.join(k, "noun").filter(F.length("word") <= 4).groupBy(F.col("word").alias("variant")).agg(F.min("noun").alias("noun"))
+    return v.join(k, "noun").groupBy(F.col("word").alias("variant")).agg(F.min("noun").alias("noun"))
 
 
 @query(f"WITH {_N}, {_E}, {_V} SELECT word FROM n INTERSECT SELECT source FROM e INTERSECT SELECT word FROM v")

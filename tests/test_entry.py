@@ -19,3 +19,13 @@ def test_oracles(spark, name):
     q, o = entry.queries(), entry.oracle_sql()
     got, want = compare(spark, connect(DIR), DIR, q[name], o[name])
     assert got == want
+
+
+def test_reverse_lookup_finds_long_variants(spark):
+    q, o = entry.queries(), entry.oracle_sql()
+    rows = {r["variant"]: r["noun"] for r in q["c9_reverse_lookup"](spark, DIR).collect()}
+    nouns = {r["word"] for r in q["b3_known_words"](spark, DIR).filter("pos = 'noun'").collect()}
+    long = {w for w in nouns if len(w) > 4}
+    assert long and long <= set(rows) and set(rows.values()) <= nouns
+    got, want = compare(spark, connect(DIR), DIR, q["c9_reverse_lookup_short"], o["c9_reverse_lookup_short"])
+    assert got == want
