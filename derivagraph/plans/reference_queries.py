@@ -47,7 +47,7 @@ def _graph(spark, d):
 
 
 def _small(spark, d):
-    """Derivation links without compounds: many components, long chains."""
+    """Derivation links without compounds: what recursion in SQL can follow; the oracles of the queries named _small (and i9_random_walks) run on it."""
     return _graph(spark, d).filter("relation_class <> 'compounding' AND relation NOT LIKE '%compound%'")
 
 
@@ -707,11 +707,19 @@ def h16_seeded_lexicon(spark, d):
 
 @query(f"""WITH RECURSIVE {_S}, l AS (SELECT DISTINCT source, target FROM s), r AS (SELECT word, 0 AS round FROM (SELECT source AS word FROM l GROUP BY source ORDER BY count(*) DESC, source LIMIT 20)
   UNION SELECT l.target, r.round + 1 FROM r JOIN l ON l.source = r.word WHERE r.round < 6) SELECT word, min(round) AS round FROM r GROUP BY word""")
+def h13_frontier_rounds_small(spark, d):
+    return _frontier(spark, _small(spark, d), 6)
+
+
+@query()
 def h13_frontier_rounds(spark, d):
+    return _frontier(spark, _graph(spark, d), 6)
+
+
+def _frontier(spark, e, rounds=None):
     from ..operators.crawl import frontier_rounds
 
-    e = _small(spark, d)
-    return frontier_rounds(e.select(F.col("source").alias("word"), F.col("target").alias("to")), graph.top_roots(e, 20), Scratch(spark), 6)
+    return frontier_rounds(e.select(F.col("source").alias("word"), F.col("target").alias("to")), graph.top_roots(e, 20), Scratch(spark), rounds)
 
 
 @query(None)
@@ -741,21 +749,38 @@ _REACH = f"{_S}, u AS (SELECT source AS a, target AS b FROM s UNION SELECT targe
 
 
 @query(f"WITH RECURSIVE {_REACH} SELECT word, component FROM wcc")
-def i2_weak_components(spark, d):
+def i2_weak_components_small(spark, d):
     e = _small(spark, d)
     return graph.weak_components(curate.endpoints(e), e, Scratch(spark))
 
 
+@query()
+def i2_weak_components(spark, d):
+    return graph.weak_components(_all_words(spark, d), _graph(spark, d), Scratch(spark))
+
+
 @query(f"WITH RECURSIVE {_REACH}, z AS (SELECT component, count(*) AS n FROM wcc GROUP BY 1) SELECT count(*) AS n_components, max(n) AS largest_size, round(max(n) / sum(n), 6) AS largest_share FROM z")
+def i2_component_stats_small(spark, d):
+    return graph.component_stats(i2_weak_components_small(spark, d))
+
+
+@query()
 def i2_component_stats(spark, d):
     return graph.component_stats(i2_weak_components(spark, d))
 
 
 @query(f"WITH RECURSIVE {_S}, l AS (SELECT DISTINCT source, target FROM s), r AS (SELECT source AS a, target AS b FROM l UNION SELECT r.a, l.target FROM r JOIN l ON l.source = r.b), w AS (SELECT source AS word FROM l UNION SELECT target FROM l) SELECT word, least(word, coalesce((SELECT min(r.b) FROM r JOIN r q ON q.a = r.b AND q.b = r.a WHERE r.a = word), word)) AS component FROM w")
-def i3_strong_components(spark, d):
+def i3_strong_components_small(spark, d):
     return graph.strong_components(_small(spark, d), Scratch(spark))
 
 
+@query()
+def i3_strong_components(spark, d):
+    """Every word; one without an edge stands alone."""
+    c = graph.strong_components(_graph(spark, d), Scratch(spark))
+    return _all_words(spark, d).join(c, "word", "left").select("word", F.coalesce("component", "word").alias("component"))
+
+
 _BFS = f"{_G}, {_P}, roots AS (SELECT source AS root FROM p GROUP BY source ORDER BY count(*) DESC, source LIMIT 5), b AS (SELECT root, root AS word, 0 AS d FROM roots UNION SELECT b.root, p.target, b.d + 1 FROM b JOIN p ON p.source = b.word WHERE b.d < 3), dist AS (SELECT root, word, min(d) AS distance FROM b GROUP BY root, word)"
 
 
@@ -811,6 +836,12 @@ def i9_random_walks(spark, d):
     return graph.random_walks(e, e.select(F.col("source").alias("word")), 2, 6, 42, Scratch(spark)).select("word", "walk", F.array_join("path", ">").alias("path"))
 
 
+@query()
+def i9_random_walks_whole(spark, d):
+    """Ten walks of 40 words from every word over all links; i9_random_walks is the small graph that its SQL is written for."""
+    return graph.random_walks(_graph(spark, d), _all_words(spark, d), 10, 40, 42, Scratch(spark)).select("word", "walk", F.array_join("path", ">").alias("path"))
+
+
 _POOL = f"{_N}, x AS (SELECT word, coalesce(min(CASE WHEN pos NOT IN ('', 'unknown') THEN pos END), 'unknown') AS pos FROM n GROUP BY word), pool AS (SELECT pos, word, row_number() OVER (PARTITION BY pos ORDER BY word) - 1 AS i FROM x UNION ALL SELECT '*', word, row_number() OVER (ORDER BY word) - 1 FROM x), psize AS (SELECT pos, count(*) AS n FROM pool GROUP BY pos)"
 
 
@@ -1082,7 +1113,7 @@ def j11_pos_head(spark, d):
 def j14_walk_embedding(spark, d):
     from ..operators.embed import walk_embedding
 
-    return walk_embedding(_small(spark, d), walks=2, length=10, dim=16).select("word", F.size("vec").alias("dim"))
+    return walk_embedding(_graph(spark, d), walks=2, length=10, dim=16).select("word", F.size("vec").alias("dim"))
 
 
 @query()

@@ -29,3 +29,12 @@ def test_reverse_lookup_finds_long_variants(spark):
     assert long and long <= set(rows) and set(rows.values()) <= nouns
     got, want = compare(spark, connect(DIR), DIR, q["c9_reverse_lookup_short"], o["c9_reverse_lookup_short"])
     assert got == want
+
+
+def test_components_and_walks_cover_all_words(spark):
+    q = entry.queries()
+    words = {r["word"] for r in q["d2_degrees"](spark, DIR).collect()}
+    for name in ("i2_weak_components", "i3_strong_components"):
+        assert {r["word"] for r in q[name](spark, DIR).collect()} == words
+    walks = q["i9_random_walks_whole"](spark, DIR).collect()
+    assert {r["word"] for r in walks} == words and len(walks) == 10 * len(words)
