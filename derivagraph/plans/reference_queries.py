@@ -713,7 +713,7 @@ def h13_frontier_rounds_small(spark, d):
 
 @query()
 def h13_frontier_rounds(spark, d):
-    return _frontier(spark, _graph(spark, d), 6)
+    return _frontier(spark, _graph(spark, d))
 
 
 def _frontier(spark, e, rounds=None):
@@ -784,13 +784,18 @@ def i3_strong_components(spark, d):
 _BFS = f"{_G}, {_P}, roots AS (SELECT source AS root FROM p GROUP BY source ORDER BY count(*) DESC, source LIMIT 5), b AS (SELECT root, root AS word, 0 AS d FROM roots UNION SELECT b.root, p.target, b.d + 1 FROM b JOIN p ON p.source = b.word WHERE b.d < 3), dist AS (SELECT root, word, min(d) AS distance FROM b GROUP BY root, word)"
 
 
-def _roots_bfs(spark, d):
+def _roots_bfs(spark, d, depth=None):
     g = _graph(spark, d)
     roots = graph.top_roots(g, 5).select(F.col("word").alias("root"))
-    return g, graph.bfs(g, roots, Scratch(spark), 3)
+    return g, graph.bfs(g, roots, Scratch(spark), depth)
 
 
 @query(f"WITH RECURSIVE {_BFS} SELECT root, word, distance FROM dist")
+def i5_bfs_distances_near(spark, d):
+    return _roots_bfs(spark, d, 3)[1]
+
+
+@query()
 def i5_bfs_distances(spark, d):
     return _roots_bfs(spark, d)[1]
 
@@ -799,11 +804,22 @@ _FAM = f"{_BFS}, fam AS (SELECT root, word, distance FROM dist QUALIFY row_numbe
 
 
 @query(f"WITH RECURSIVE {_FAM} SELECT root, word, distance FROM fam")
+def i5_family_members_near(spark, d):
+    return graph.family_members(_roots_bfs(spark, d, 3)[1], 40).select("root", "word", "distance")
+
+
+@query()
 def i5_family_members(spark, d):
     return graph.family_members(_roots_bfs(spark, d)[1], 40).select("root", "word", "distance")
 
 
 @query(f"WITH RECURSIVE {_FAM} SELECT a.root, g.source, g.relation, g.target FROM g JOIN fam a ON a.word = g.source JOIN fam b ON b.word = g.target AND b.root = a.root")
+def i6_induced_subgraph_near(spark, d):
+    g, b = _roots_bfs(spark, d, 3)
+    return graph.induced(g, graph.family_members(b, 40))
+
+
+@query()
 def i6_induced_subgraph(spark, d):
     g, b = _roots_bfs(spark, d)
     return graph.induced(g, graph.family_members(b, 40))
@@ -811,6 +827,11 @@ def i6_induced_subgraph(spark, d):
 
 @query(f"""WITH RECURSIVE {_FAM}, x AS (SELECT *, row_number() OVER (PARTITION BY root, distance ORDER BY word) - 1 AS i, count(*) OVER (PARTITION BY root, distance) AS n FROM fam)
   SELECT root, word, distance, round(distance * cos(2 * pi() * i / n - pi() / 2), 4) AS x, round(distance * sin(2 * pi() * i / n - pi() / 2), 4) AS y FROM x""")
+def i7_radial_layout_near(spark, d):
+    return graph.radial_layout(graph.family_members(_roots_bfs(spark, d, 3)[1], 40))
+
+
+@query()
 def i7_radial_layout(spark, d):
     return graph.radial_layout(graph.family_members(_roots_bfs(spark, d)[1], 40))
 
