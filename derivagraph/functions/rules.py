@@ -23,7 +23,7 @@ SUFFIX_RULES = """
 ացում verb noun deverbal
 եցում verb noun deverbal
 ուած verb noun deverbal
-ved verb noun deverbal
+ված verb noun deverbal
 իչ verb noun deverbal
 ակ verb noun deverbal
 ուկ verb noun deverbal
@@ -135,11 +135,60 @@ BORROWINGS = """
 ֆուտբոլ բասկետբոլ վոլեյբոլ ինտերնետ մոնիտոր պրոցեսոր բիզնես մարքեթինգ մենեջեր դեմոկրատիա ռեսպուբլիկա ֆեդերացիա ռեստորան կոնյակ շամպայն պիցցա
 ակադեմիա ունիվերսիտետ ֆակուլտետ սիստեմա ալկոհոլ
 """
-# First words of a crawl with their part of speech.
-SEED_NOUNS = "աղ հաց ջուր արև նվեր սեր գիր գրիչ գրություն գրադարան լույս լուսին լուսաբաց բառ բառարան բառապաշար մայր հայր եղբայր քույր տուն տնտեսություն գիտություն գիտնական գիտակ դպրոց ուսուցիչ ուսանող ուսում երկիր բնություն հայերեն օրենք օրինակ ամպ քար օդ շնորհ հաճ մոլ"
-SEED_ADJECTIVES = "գրագետ սիրուն սիրահար լուսավոր տնային անկախ գոհ բարի որոշ"
-SEED_VERBS = "սիրել"
-SEED_ADVERBS = "հեռու"
+# First words of a crawl, in queue order, with their part of speech.
+SEED_WORDS = """
+աղ noun
+հաց noun
+ջուր noun
+արև noun
+նվեր noun
+սեր noun
+գիր noun
+գրիչ noun
+գրություն noun
+գրագետ adjective
+գրադարան noun
+սիրել verb
+սիրուն adjective
+սիրահար adjective
+լույս noun
+լուսին noun
+լուսավոր adjective
+լուսաբաց noun
+բառ noun
+բառարան noun
+բառապաշար noun
+մայր noun
+հայր noun
+եղբայր noun
+քույր noun
+տուն noun
+տնային adjective
+տնտեսություն noun
+գիտություն noun
+գիտնական noun
+գիտակ noun
+դպրոց noun
+ուսուցիչ noun
+ուսանող noun
+ուսում noun
+երկիր noun
+անկախ adjective
+բնություն noun
+հայերեն noun
+օրենք noun
+օրինակ noun
+ամպ noun
+քար noun
+օդ noun
+շնորհ noun
+գոհ adjective
+հեռու adverb
+բարի adjective
+որոշ adjective
+հաճ noun
+մոլ noun
+"""
 # Endings and stems of nouns for people.
 HUMAN_SUFFIXES = "իչ ուհի ցի ացի եցի արկու ուն"
 HUMAN_STEMS = "մարդ կին տղա աղջիկ հայ ուսուցիչ բժիշկ գիտնական ուսանող դատավոր զինվոր"
@@ -267,7 +316,7 @@ PREFIX_TABLE = [(i, *row) for i, row in enumerate(lines(PREFIX_RULES))]
 PREFIXES = [r[1] for r in PREFIX_TABLE]
 AFFIXES = sorted({*SUFFIXES, *PREFIXES})
 ROOTS = COMMON_ROOTS.split()
-SEEDS = [(w, p) for p, ws in (("noun", SEED_NOUNS), ("adjective", SEED_ADJECTIVES), ("verb", SEED_VERBS), ("adverb", SEED_ADVERBS)) for w in ws.split()]
+SEEDS = [tuple(row) for row in lines(SEED_WORDS)]
 RENAME_TABLE = lines(RENAMES)
 INVERSE_TABLE = lines(INVERSES)
 BUILDER_CLASS = [(lab, row[0]) for row in lines(BUILDER_CLASSES) for lab in row[1:]]

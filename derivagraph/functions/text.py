@@ -105,40 +105,49 @@ def page_pos(page: str) -> Column:
     return F.coalesce(*ways, F.lit("unknown"))
 
 
-def first_definition(page: str, width: int = 300) -> Column:
-    """The first line that starts with '# ', without links, templates and bold marks; '' without one."""
-    lines = F.filter(F.transform(F.split(F.col(page), r"\r?\n"), lambda x: F.trim(x)), lambda x: x.startswith("# "))
-    d = F.substring(F.get(lines, F.lit(0)), 3, 1 << 30)
-    d = F.regexp_replace(d, r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", "$1")
-    d = F.regexp_replace(d, r"\{\{[^}]+\}\}", "")
-    d = F.trim(F.regexp_replace(d, r"'{2,3}", ""))
-    return F.coalesce(F.left(d, F.lit(width)), F.lit(""))
-
-
+# Wiki syntax. A link to a page (its title is the group), a template, the blocks and marks around words.
 _LINK = r"\[\[([^\]|#:]+)(?:\|[^\]]*)?\]\]"
+MARKUP = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]|\{\{[^}]+\}\}|'{2,3}"
+DERIVED_BLOCK = r"(?s)\{\{der-top\}\}(.*?)\{\{der-bottom\}\}"
+COMPOUND_HEAD, COMPOUND_TEMPLATE = "Բաղադրյալ բառեր", "բաղ"
 
 
-def _clean_links(found: Column, title: str) -> Column:
-    w = F.transform(found, lambda x: F.trim(x))
-    return F.array_distinct(F.filter(w, lambda x: (F.length(x) >= 2) & (x != F.col(title)) & x.rlike(f"^[{TITLE_LETTERS}-]+$")))
+def first_definition(page: str, width: int = 300) -> Column:
+    """The first line that starts with '# ' as plain text: one pass leaves a link's page and drops templates and bold marks; '' without such a line."""
+    line = F.regexp_extract(F.col(page), r"(?:^|[\r\n])[^\S\r\n]*# ([^\r\n]*)", 1)
+    return F.coalesce(F.left(F.trim(F.regexp_replace(line, MARKUP, "$1")), F.lit(width)), F.lit(""))
 
 
 def section(page: str, head: str, level: str = "{2,4}") -> Column:
     return F.regexp_extract(F.col(page), rf"(?s)={level}\s*{head}\s*={level}\s*(.*?)(?=\n={{2,4}}|\z)", 1)
 
 
-def compound_links(page: str, title: str, head: str = "Բաղադրյալ բառեր", template: str = "բաղ") -> Column:
-    """Words linked in the section of compounds, in its templates and in der-top blocks, in order; single Armenian words but the title."""
-    sec = section(page, head)
-    links = F.regexp_extract_all(sec, F.lit(_LINK), F.lit(1))
-    tmpl = F.flatten(F.transform(F.regexp_extract_all(sec, F.lit(rf"\{{\{{{template}\|([^}}]+)\}}\}}"), F.lit(1)), lambda x: F.split(x, r"\|")))
-    tmpl = F.filter(tmpl, lambda x: ~x.contains("="))
-    der = F.flatten(F.transform(F.regexp_extract_all(F.col(page), F.lit(r"(?s)\{\{der-top\}\}(.*?)\{\{der-bottom\}\}"), F.lit(1)), lambda b: F.regexp_extract_all(b, F.lit(_LINK), F.lit(1))))
-    return _clean_links(F.concat(links, tmpl, der), title)
+def _groups(texts: Column, pattern: str) -> Column:
+    """What the first group of ``pattern`` holds, over all texts of an array, in order."""
+    return F.flatten(F.transform(texts, lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(1))))
+
+
+def compound_links(page: str, title: str, head: str = COMPOUND_HEAD, template: str = COMPOUND_TEMPLATE) -> Column:
+    """Compounds a page lists: links of the section of compounds, members of its templates, links of derived-word blocks.
+
+    Each once, in this order; only words of two letters or more wholly in the
+    Armenian alphabet (hyphens allowed) count, and never the page's own title.
+    """
+    whole = F.array(F.col(page))
+    listed = F.array(section(page, head))
+    members = F.flatten(F.transform(_groups(listed, rf"\{{\{{{template}\|([^}}]+)\}}\}}"), lambda x: F.split(x, r"\|")))
+    words = F.concat(_groups(listed, _LINK), members, _groups(_groups(whole, DERIVED_BLOCK), _LINK))
+    clean = F.transform(words, lambda x: F.trim(x))
+    return F.array_distinct(F.filter(clean, lambda x: x.rlike(rf"^[{TITLE_LETTERS}-]{{2,}}\z") & (x != F.col(title))))
+
+
+# What a component of an etymology may look like; a hyphen stands at one of the two words at most.
+ETYMOLOGY_FORMS = (rf"{_LINK}\s*\+\s*{_LINK}", rf"{_LINK}-\s*\+\s*{_LINK}", rf"{_LINK}\s*\+\s*-{_LINK}")
 
 
 def etymology_parts(page: str, title: str, head: str = "Ստուգաբանություն") -> Column:
-    """Components of [[a]] + [[b]], [[a]]- + [[b]] and [[a]] + -[[b]] in the etymology section, sorted."""
+    """Components of [[a]] + [[b]], [[a]]- + [[b]] and [[a]] + -[[b]] in the etymology section, sorted; each form is searched by itself."""
     sec = F.regexp_extract(F.col(page), rf"(?s)==\s*{head}\s*==\s*(.*?)(?=\n=|\z)", 1)
-    both = F.flatten(F.array(*[F.regexp_extract_all(sec, F.lit(p), F.lit(g)) for p in (rf"{_LINK}-?\s*\+\s*-?{_LINK}",) for g in (1, 2)]))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(both, lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & (x != F.col(title)))))
+    found = F.flatten(F.array(*[F.regexp_extract_all(sec, F.lit(p), F.lit(g)) for p in ETYMOLOGY_FORMS for g in (1, 2)]))
+    kept = F.filter(found, lambda x: (F.length(x) > 1) & (x != F.col(title)) & ~x.contains("Կատեգորիա"))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.trim(x))))

@@ -510,12 +510,16 @@ def g3_compound_links(spark, d):
     return _pages(spark, d).select("doc_id", F.array_join(text.compound_links("page", "title", "Բառակազմություն"), ",").alias("links")).filter("links <> ''")
 
 
-@query("""WITH x AS (SELECT doc_id, word AS title, regexp_extract(text || chr(10) || '=', '==\\s*Ստուգաբանություն\\s*==((?:.|\\n)*?)\\n=', 1) AS s FROM documents WHERE text <> ''),
-  y AS (SELECT doc_id, title, regexp_extract_all(s, '\\[\\[([^\\]|#:]+)(?:\\|[^\\]]*)?\\]\\]-?\\s*\\+\\s*-?\\[\\[([^\\]|#:]+)(?:\\|[^\\]]*)?\\]\\]', 1) AS a, regexp_extract_all(s, '\\[\\[([^\\]|#:]+)(?:\\|[^\\]]*)?\\]\\]-?\\s*\\+\\s*-?\\[\\[([^\\]|#:]+)(?:\\|[^\\]]*)?\\]\\]', 2) AS b FROM x)
-  SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(a || b, lambda w: trim(w)), lambda w: length(w) > 1 AND w <> coalesce(title, '')))), ',') AS parts FROM y WHERE len(a) > 0""")
+_WL = r"\[\[([^\]|#:]+)(?:\|[^\]]*)?\]\]"
+_ETY = ", ".join(f"regexp_extract_all(s, '{p}', {g})" for p in (rf"{_WL}\s*\+\s*{_WL}", rf"{_WL}-\s*\+\s*{_WL}", rf"{_WL}\s*\+\s*-{_WL}") for g in (1, 2))
+
+
+@query(rf"""WITH x AS (SELECT doc_id, word AS title, regexp_extract(text || chr(10) || '=', '==\s*Ստուգաբանություն\s*==((?:.|\n)*?)\n=', 1) AS s FROM documents WHERE text <> ''),
+  y AS (SELECT doc_id, title, flatten([{_ETY}]) AS a FROM x)
+  SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(a, lambda w: trim(w)), lambda w: length(w) > 1 AND w <> coalesce(title, '')))), ',') AS parts FROM y WHERE len(a) > 0""")
 def g4_etymology_parts(spark, d):
     p = _pages(spark, d).withColumn("title", F.coalesce("title", F.lit("")))
-    return p.select("doc_id", text.etymology_parts("page", "title").alias("p"), text.section("page", "Ստուգաբանություն", "={1}").alias("s")).filter(F.size("p") > 0).select("doc_id", F.array_join("p", ",").alias("parts"))
+    return p.select("doc_id", text.etymology_parts("page", "title").alias("p")).filter(F.size("p") > 0).select("doc_id", F.array_join("p", ",").alias("parts"))
 
 
 @query(f"WITH {_N}, {_SUFPOS} SELECT n.node_id, coalesce((SELECT arg_min(s.pos, s.rank) FROM sufpos s WHERE ends_with(n.word, s.suffix)), 'unknown') AS guess FROM n")

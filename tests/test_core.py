@@ -151,7 +151,7 @@ PAGE = """==Գոյական==
 === Բաղադրյալ բառեր ===
 * [[գրագետ]] [[գրիչ|գ]] [[two words]] [[Կատեգորիա:x]] [[latin]] {{բաղ|գրադարան|n=1}}
 == Ստուգաբանություն ==
-[[գիր]] + [[-ություն]] և [[մեծ]]- + [[տուն]]
+[[գիր]] + [[-ություն]] և [[մեծ]]- + [[տուն]] կամ [[քար]] + -[[սիրտ]], [[ոչ]]- + -[[այս]]
 {{der-top}}
 * [[գրող]]
 {{der-bottom}}"""
@@ -161,10 +161,22 @@ def test_page_functions(spark):
     d = spark.createDataFrame([("գիր", PAGE), ("գիր", ""), ("x", None), ("գիր", "{{-hy-բայ-}} ==Գոյական==")], "title string, page string")
     r = d.select(text.page_pos("page").alias("p"), text.first_definition("page").alias("d"), text.compound_links("page", "title").alias("c"), text.etymology_parts("page", "title").alias("e")).collect()
     assert r[0]["p"] == "noun" and r[0]["d"] == "Գրի նշան  մեկ".replace("Գրի", "գիր") and r[0]["c"] == ["գրագետ", "գրիչ", "գրադարան", "գրող"]
-    assert r[0]["e"] == ["-ություն", "մեծ", "տուն"]
+    assert r[0]["e"] == ["-ություն", "մեծ", "սիրտ", "տուն", "քար"]  # the page's own title and the pair with two hyphens are out
     assert r[1]["p"] == "unknown" and r[1]["d"] == "" and r[2]["d"] == "" and r[3]["p"] == "verb"
 
 
+def test_rule_tables():
+    """Counts written down by hand, and nothing but letters of the alphabet in any table of word parts."""
+    assert len(rules.SUFFIX_TABLE) == 56 and len(rules.PREFIX_TABLE) == 11 and len(rules.lines(rules.ROOT_FORMS)) == 45
+    assert len(rules.ROOTS) == 53 and len(rules.BORROWINGS.split()) == 21 and len(rules.VERB_ROOTS.split()) == 23 and len(rules.SEEDS) == 51
+    assert len(rules.INVERSE_TABLE) == 14 and len(rules.POS_ORDER) == 4
+    words = [*rules.SUFFIXES, *rules.PREFIXES, *rules.ROOTS, *rules.BORROWINGS.split(), *rules.VERB_ROOTS.split(), *[w for w, _ in rules.SEEDS], *[w for r in rules.lines(rules.ROOT_FORMS) for w in r]]
+    words += [*rules.HUMAN_SUFFIXES.split(), *rules.HUMAN_STEMS.split(), *[r[0] for r in rules.entries(rules.DECLENSIONS)], *[r[0] for r in rules.entries(rules.ACTIONS)], *rules.DEMONYM_ENDINGS.split()]
+    assert all("\u0561" <= c <= "\u0587" for w in words for c in w)
+    assert [w for w, _ in rules.SEEDS[:10]] == ["աղ", "հաց", "ջուր", "արև", "նվեր", "սեր", "գիր", "գրիչ", "գրություն", "գրագետ"] and rules.SEEDS[-1] == ("մոլ", "noun")
+    assert ("ved" not in rules.SUFFIXES) and {r[1:] for r in rules.SUFFIX_TABLE} >= {("\u057e\u0561\u056e", "verb", "noun", "deverbal")}
+
+
 def test_word_functions(spark):
     w = spark.createDataFrame([("*և-ա1",), ("",), (None,), ("ա",), ("Ա1բ",), ("123",)], "word string")
     got = w.select(text.clean_word("word").alias("c"), text.is_proper_or_invalid("word").alias("b"), text.trigrams("word").alias("t")).collect()
