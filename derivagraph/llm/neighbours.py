@@ -121,7 +121,7 @@ def route(x: np.ndarray, planes: np.ndarray, offsets: np.ndarray, probes: int) -
             m = np.einsum("nkd,nd->nk", planes[tree, node], x) - offsets[tree, node]
         near, far = 2 * node + (m > 0), 2 * node + (m <= 0)
         node, tree = np.concatenate([near, far], 1), np.concatenate([tree, tree], 1)
-        pri = np.concatenate([pri, np.maximum(pri, np.abs(m))], 1)
+        pri = np.concatenate([pri, np.maximum(pri, np.maximum(np.abs(m), 1e-12))], 1)  # a row on a plane still has one home
         if node.shape[1] > probes:
             o = np.argpartition(pri, probes - 1, axis=1)[:, :probes]
             node, tree, pri = (np.take_along_axis(a, o, 1) for a in (node, tree, pri))
@@ -148,9 +148,9 @@ class Index:
         self.sc.drop("vectors")
         n = self.classes.count()
         self.n, self.probes = n, probes
-        depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(n, 1) / leaf)))))
+        depth = int(min(MAX_DEPTH, max(1, np.ceil(np.log2(max(n, 1) / leaf)))))
         self.depth = depth
-        if depth:
+        if n:
             # content hashes are uniform: those below this one are about ``sample`` classes, whatever n
             bar = F.lit(bytearray(int(min(1.0, sample / n) * (2**32 - 1)).to_bytes(4, "big")))
             s = self.classes.filter(F.substring("digest", 1, 4) <= bar).select("v").toPandas()
@@ -222,24 +222,20 @@ class Index:
             return c.mapInPandas(as_query(True), schema)
         return c.mapInPandas(as_index, schema).unionByName(queries.select("vec_id", "v").mapInPandas(as_query(False), schema))
 
-    def leaf_neighbours(self, queries: DataFrame | None = None, k: int = K, min_cos: float = MIN_COS, linking: bool = False) -> DataFrame:
-        """(q, id, cos): per visited leaf the best ``k`` others of each query (default: of each class), exactly reranked.
+    def by_bin(self, blocks: DataFrame):
+        """Rows of ``blocks`` grouped by bin, spread over about 40,000 rows a task."""
+        n = max(12, int(self.classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.n * self.probes // 40_000)
+        return blocks.repartition(n, "bin").groupBy("bin")
 
-        ``linking`` adds what keeps the components of the threshold graph whole,
-        marked by a column ``tie``: a spanning forest of each leaf's links, and per
-        query from elsewhere its best link into every part of that forest.
-        """
+    def leaf_neighbours(self, queries: DataFrame | None = None, k: int = K, min_cos: float = MIN_COS) -> DataFrame:
+        """(q, id, cos): per visited leaf the best ``k`` others of each query (default: of each class), exactly reranked."""
 
         def rank(rows: pd.DataFrame) -> pd.DataFrame:
-            qs, ids, cs, ties = [], [], [], []
+            qs, ids, cs = [], [], []
             left, right = rows[rows["role"] != 1], rows[rows["role"] != 0]
             if len(left) and len(right):
                 left = left.sort_values("id", kind="stable")
                 mi, m = left["id"].to_numpy(), matrix(left["v"])
-                part = _forest(m, min_cos) if linking else None
-                if linking:
-                    for a, b, c in part[1]:
-                        qs.append(mi[a]), ids.append(mi[b]), cs.append(c), ties.append(True)
                 m32 = m.astype(np.float32)
                 for i in range(0, len(right), 1024):
                     r = right.iloc[i : i + 1024]
@@ -251,57 +247,11 @@ class Index:
                         c = c[mi[c] != qi[j]]
                         s = np.round(m[c] @ q[j], 6)
                         c, s = c[s >= min_cos], s[s >= min_cos]
-                        if not len(c):
-                            continue
-                        o = np.argsort(-s, kind="stable")  # ids ascend, so ties go to the smaller
-                        c, s = c[o], s[o]
-                        take = np.arange(min(k, len(c)))
-                        tie = np.zeros(len(take), bool)
-                        if linking and not home[j]:
-                            at = np.unique(part[0][c], return_index=True)[1]
-                            take = np.union1d(take, at)
-                            tie = np.isin(take, at)
-                        qs.extend([qi[j]] * len(take)), ids.extend(mi[c[take]]), cs.extend(s[take]), ties.extend(tie.tolist())
-            out = {"q": np.array(qs, np.int64), "id": np.array(ids, np.int64), "cos": np.array(cs, np.float64)}
-            return pd.DataFrame(out | {"tie": np.array(ties, bool)} if linking else out)
-
-        n = max(12, int(self.classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.n * self.probes // 40_000)
-        return self.blocks(queries).repartition(n, "bin").groupBy("bin").applyInPandas(rank, "q long, id long, cos double" + ", tie boolean" * linking)
+                        o = np.argsort(-s, kind="stable")[:k]  # ids ascend, so ties go to the smaller
+                        qs.extend([qi[j]] * len(o)), ids.extend(mi[c[o]]), cs.extend(s[o])
+            return pd.DataFrame({"q": np.array(qs, np.int64), "id": np.array(ids, np.int64), "cos": np.array(cs, np.float64)})
 
-
-def _forest(m: np.ndarray, min_cos: float) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
-    """(part of each row, links (a, b, cos) of a spanning forest) of the graph of rows with cosine >= min_cos.
-
-    Links are found once, by blocks in single precision with an exact second look
-    at what lies within its error; whole fronts are then expanded at once.
-    """
-    n = len(m)
-    part = np.arange(n)
-    m32 = m.astype(np.float32)
-    adj = np.empty((n, n), bool)
-    for k in range(0, n, 512):
-        s = m32[k : k + 512] @ m32.T
-        adj[k : k + 512] = s >= min_cos
-        i, j = np.nonzero(np.abs(s - min_cos) <= SLACK)
-        adj[k + i, j] = np.round((m[k + i] * m[j]).sum(1), 6) >= min_cos
-    adj[np.arange(n), np.arange(n)] = False
-    open_ = adj.any(1)  # rows with a link, not reached yet
-    ends: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(n):
-        if not open_[i]:
-            continue
-        open_[i] = False
-        front = np.array([i])
-        while len(front):
-            reach = adj[front] & open_
-            new = np.flatnonzero(reach.any(0))
-            ends.append((front[reach[:, new].argmax(0)], new))
-            part[new] = i
-            open_[new] = False
-            front = new
-    a, b = (np.concatenate(x) if ends else np.zeros(0, int) for x in (([e[0] for e in ends] or [np.zeros(0, int)]), ([e[1] for e in ends] or [np.zeros(0, int)])))
-    cos = np.round((m[a] * m[b]).sum(1), 6)
-    return part, list(zip(a.tolist(), b.tolist(), cos.tolist(), strict=True))
+        return self.by_bin(self.blocks(queries)).applyInPandas(rank, "q long, id long, cos double")
 
 
 def class_neighbours(index: Index, queries: DataFrame | None = None, k: int = K, min_cos: float = MIN_COS) -> DataFrame:

@@ -56,7 +56,7 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     words = _t(spark, d, "embeddings_gcn").select("vec_id", plain_spelling("word").alias("word"))
     n = _t(spark, d, "nodes").filter(filled("word", "pos") & (F.col("pos") != "unknown"))
     pos = n.select(plain_spelling("word").alias("word"), "pos", parse_instant("scraped_at").alias("at"), "node_id").groupBy("word").agg(F.max_by("pos", F.struct("at", "node_id")).alias("pos"))
-    return clusters.describe_clusters(c.set_members(), words, pos)
+    return clusters.describe_clusters(c.members(), words, pos)
 
 
 def _families(spark, d, sc):

@@ -147,13 +147,87 @@ def test_clusters_equal_the_linked_sets(spark, monkeypatch):
         if len(part) >= 3:
             want += [(min(part), j) for j in part]
     assert got == sorted(want)
-    flow = c.flow_members().toPandas()
-    assert len(flow) == len(v) and (flow.flow >= 0).all()
+    members = c.members()
+    assert (members.toPandas().flow >= 0).all()
     words = spark.createDataFrame([(i, f"w{i}") for i in range(len(v))], "vec_id long, word string")
-    told = clusters.describe_clusters(c.flow_members(), words, spark.createDataFrame([("w0", "noun")], "word string, pos string")).toPandas()
+    told = clusters.describe_clusters(members, words, spark.createDataFrame([("w0", "noun")], "word string, pos string")).toPandas()
     assert (told.n_members >= 3).all() and told.typical_words.str.len().gt(0).all()
 
 
+def brute_flow(w, rounds, inflation=2.0, prune=1e-3):
+    """Markov clustering column by column: the flow matrix after ``rounds`` squarings."""
+    n = len(w)
+    m = [[w[i][j] if i != j else (max(w[j]) or 1.0) for j in range(n)] for i in range(n)]
+
+    def scaled(m, keep=0.0):
+        out = [[0.0] * n for _ in range(n)]
+        for j in range(n):
+            t = sum(m[i][j] for i in range(n))
+            col = [m[i][j] / t if m[i][j] / t >= keep else 0.0 for i in range(n)]
+            t = sum(col)
+            for i in range(n):
+                out[i][j] = col[i] / t
+        return out
+
+    m = scaled(m)
+    for _ in range(rounds):
+        sq = [[sum(m[i][k] * m[k][j] for k in range(n)) ** inflation for j in range(n)] for i in range(n)]
+        m = scaled(scaled(sq), prune)
+    return np.array(m)
+
+
+def test_flow_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    n = 14
+    w = np.triu((rng.random((n, n)) < 0.25) * rng.integers(1, 6, (n, n)), 1).astype(float)
+    w[0, 1] = 3.0
+    w = w + w.T
+    m = brute_flow(w.tolist(), clusters.EXPANSIONS)
+    links = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(n) for j in range(i + 1, n) if w[i, j]], "a long, b long, w double")
+    got = {r["node"]: r["name"] for r in clusters.attractors(links, Scratch(spark)).collect()}
+    hub = np.round(m, 9).argmax(0)
+    want = {j: int(min(hub[j], j) if hub[hub[j]] == j else hub[j]) for j in range(n) if w[j].any()}
+    assert got == want and len(set(got.values())) > 1
+    h, f = clusters.dense_flow(w[None], rounds=clusters.EXPANSIONS)
+    assert h[0].tolist() == [want.get(j, j) for j in range(n)]
+    assert np.allclose(f[0], brute_flow(w.tolist(), 1).sum(1), atol=1e-4)
+
+
+def test_linked_clusters_of_any_shape(spark):
+    rng = random.Random(8)
+    links = [(i, i + 1, 1.0) for i in range(0, 300)] + [(1000, 1000 + i, 0.5) for i in range(1, 1500)]  # a chain, and a hub with equal links to more rows than a column keeps
+    links += [(3000 + rng.randrange(200), 3000 + rng.randrange(200), rng.random() + 0.1) for _ in range(180)] + [(7, 8, 1.0), (None, 1, 1.0), (5, None, 1.0), (9000, 9001, 0.0), (9002, 9002, 1.0)]
+    g = spark.createDataFrame(links, "a long, b long, w double")
+    part = {}
+    for r in clusters.linked_clusters(g, Scratch(spark)).collect():
+        part.setdefault(r["name"], set()).add(r["node"])
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b, w in links:
+        if a is not None and b is not None and a != b and w > 0:
+            up[root(a)] = root(b)
+    want = {}
+    for x in list(up):
+        want.setdefault(root(x), set()).add(x)
+    assert sorted(map(sorted, part.values())) == sorted(map(sorted, want.values()))
+    assert clusters.linked_clusters(g.limit(0), Scratch(spark)).count() == 0
+
+
+def test_leaf_blocks_join_what_they_cut():
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal(8) + 0.05 * rng.standard_normal((90, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    adj = np.ones((90, 90), bool) & ~np.eye(90, dtype=bool)
+    hub, flow, between = clusters.leaf_attractors(m, adj, block=20)
+    names = set(hub.tolist())
+    assert len(names) >= 5 and (flow > 0).any() and {x for a, b, _ in between for x in (a, b)} == names
+
+
 def test_cluster_report_tells_whole_linked_sets(spark, tmp_path):
     from derivagraph.llm import queries
 
