@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-SAMPLE, TREES, PROBES, LEAF, MAX_DEPTH, CHUNK = 20_000, 2, 5, 4_000, 12, 10_000
+SAMPLE, TREES, PROBES, LEAF, MAX_DEPTH, CHUNK = 20_000, 2, 6, 4_000, 12, 10_000
 #: A branch is visited only if no hyperplane was passed on its wrong side by more than this.
-REACH = 0.06
+REACH = 0.08
 MIN_COS, K = 0.87, 5
 #: Far more than the error of a cosine in single precision.
 SLACK = 1e-4
@@ -255,10 +255,9 @@ class Index:
 
 
 def class_neighbours(index: Index, queries: DataFrame | None = None, k: int = K, min_cos: float = MIN_COS) -> DataFrame:
-    """(q, id, cos, rank): the best ``k`` other classes of each query class."""
-    found = index.leaf_neighbours(queries, k, min_cos).distinct()
-    w = Window.partitionBy("q").orderBy(F.desc("cos"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """(q, near): the best ``k`` other classes of each query class as sorted structs (far = -cos, id); one shuffle, at most ``k`` a visited leaf to a list."""
+    found = index.leaf_neighbours(queries, k, min_cos)
+    return found.groupBy("q").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cos")).alias("far"), "id"))), 1, k).alias("near"))
 
 
 def nearest(index: Index, k: int = K, min_cos: float = MIN_COS) -> DataFrame:
@@ -271,11 +270,14 @@ def nearest(index: Index, k: int = K, min_cos: float = MIN_COS) -> DataFrame:
     """
     sc = index.sc
     w = Window.partitionBy("rep").orderBy("vec_id")
-    heads = sc.cut(index.members.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("vec_id")).alias("head")))
-    near = class_neighbours(index, None, k, min_cos)
-    other = near.join(heads.select(F.col("rep").alias("id"), "head"), "id").select(F.col("q").alias("rep"), "cos", F.explode("head").alias("to"))
-    own = heads.filter(F.size("head") > 1).select("rep", F.lit(1.0).alias("cos"), F.explode("head").alias("to"))
-    best = other.unionByName(own).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("far"), "to"))), 1, k * (k + 2)).alias("cand"))
+    copies = index.members.filter("rep <> vec_id").withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k)
+    heads = sc.cut(copies.groupBy("rep").agg(F.sort_array(F.collect_list("vec_id")).alias("more")).select("rep", F.concat(F.array("rep"), "more").alias("head")))
+    near = sc.cut(class_neighbours(index, None, k, min_cos))
+    one = near.select(F.col("q").alias("rep"), F.explode("near").alias("x")).select("rep", F.col("x.far").alias("far"), F.col("x.id").alias("id"))
+    one = one.join(heads.select(F.col("rep").alias("id"), "head"), "id", "left")
+    other = one.select("rep", "far", F.explode(F.coalesce("head", F.array("id"))).alias("to"))
+    own = heads.select("rep", F.lit(-1.0).alias("far"), F.explode("head").alias("to"))
+    best = other.unionByName(own).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "to"))), 1, k * (k + 2)).alias("cand"))
     each = index.members.join(best, "rep")
     take = F.slice(F.filter("cand", lambda x: x["to"] != F.col("vec_id")), 1, k)
     return each.select("vec_id", F.explode(take).alias("x")).select("vec_id", F.col("x.to").alias("neighbour"), (-F.col("x.far")).alias("cos"))
