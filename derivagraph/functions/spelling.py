@@ -115,8 +115,18 @@ def _plain_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def plain_spelling(col: str | Column) -> Column:
-    """The plain spelling as a column (Arrow batches; null stays null)."""
-    return _plain_udf(F.col(col) if isinstance(col, str) else col)
+    """The plain spelling as a column; null stays null.
+
+    Words whose form alone shows them plain stay in the JVM; only the others go
+    through the Arrow batches.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(_plain_udf(F.when(~known_plain(c), c)), c)
+
+
+def known_plain(c: Column) -> Column:
+    """The form alone shows the word plain (to the very end: a line break after it is no part of the form)."""
+    return c.rlike(rf"\A(?:{PLAIN_FORM})\z") & ~c.contains(ECH_YIWN)
 
 
 def filled(*cols: str) -> Column:

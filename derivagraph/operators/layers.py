@@ -1,7 +1,8 @@
 """Message passing, scoring and ensembles over (word, vec ARRAY<DOUBLE>) and typed edges.
 
-Weights are plain nested lists broadcast as literals of bounded size (a layer's
-matrix); aggregation over neighbours stays in built-in expressions.
+Weights are matrices of a layer's fixed size that travel with the task and are
+applied by one product a batch; aggregation over neighbours stays in built-in
+expressions.
 """
 
 from __future__ import annotations
@@ -37,10 +38,16 @@ def vector_sum(df: DataFrame, by: list[str], vec: str = "vec", dim: int = 64) ->
     return df.groupBy(*by).agg(F.array(*[F.sum(F.get(F.col(vec), F.lit(i))) for i in range(dim)]).alias(vec))
 
 
-def linear(v: Column, w: Sequence[Sequence[float]], b: Sequence[float] | None = None) -> Column:
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in w])
-    y = F.transform(rows, lambda r: dot(r, v))
-    return add(y, F.array(*[F.lit(float(x)) for x in b])) if b is not None else y
+def project(nodes: DataFrame, w: Sequence[Sequence[float]], b: Sequence[float] | None = None) -> DataFrame:
+    """(word, W vec + b) by one matrix product a batch; the matrix (a layer's, of fixed size) travels with the task."""
+    m, c = np.asarray(w, dtype=float), 0.0 if b is None else np.asarray(b, dtype=float)
+
+    def run(batches):
+        for x in batches:
+            y = np.stack(x["vec"].to_numpy()) @ m.T + c if len(x) else np.zeros((0, len(m)))
+            yield pd.DataFrame({"word": x["word"], "vec": list(y)})
+
+    return nodes.select("word", "vec").mapInPandas(run, "word string, vec array<double>")
 
 
 def gcn(nodes: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
@@ -70,16 +77,19 @@ def rgcn_mean(nodes: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
 
 
 def rgcn(nodes: DataFrame, edges: DataFrame, dim: int, root: Sequence[Sequence[float]], bases: Sequence, mix: dict[int, Sequence[float]]) -> DataFrame:
-    """W0 h_i + sum over types of mean_j W_r h_j with W_r = sum of mix[r][b] * bases[b]."""
+    """W0 h_i + sum over types of mean_j W_r h_j with W_r = sum of mix[r][b] * bases[b].
+
+    Each type's mean is mixed into one long vector, a part for each basis, and
+    summed in one aggregation; the node's own vector goes in front, so that one
+    product with [W0, bases...] gives the layer.
+    """
     per = rgcn_mean(nodes, edges, dim)
-    table = F.broadcast(nodes.sparkSession.createDataFrame([(r, [float(x) for x in c]) for r, c in mix.items()], "etype int, c array<double>"))
-    per = per.join(table, "etype")
-    # sum over types first, base by base: one vector a base instead of one matrix a type
-    out = nodes.select("word", linear(F.col("vec"), root).alias("vec"))
-    for b, base in enumerate(bases):
-        part = vector_sum(per.select("word", scale(F.col("vec"), F.col("c")[b]).alias("vec")), ["word"], dim=dim).select("word", linear(F.col("vec"), base).alias("more"))
-        out = out.join(part, "word", "left").select("word", F.when(F.col("more").isNotNull(), add(F.col("vec"), F.col("more"))).otherwise(F.col("vec")).alias("vec"))
-    return out
+    table = F.broadcast(nodes.sparkSession.createDataFrame([(r, [float(x) for x in c]) for r, c in mix.items()], "etype int, c array<double>"))  # one row a type
+    mixed = per.join(table, "etype").select("word", F.flatten(F.transform("c", lambda c: F.transform("vec", lambda x: c * x))).alias("vec"))
+    more = vector_sum(mixed, ["word"], dim=dim * len(bases)).withColumnRenamed("vec", "more")
+    zero = F.array_repeat(F.lit(0.0), dim * len(bases))
+    long = nodes.select("word", "vec").join(more, "word", "left").select("word", F.concat("vec", F.coalesce("more", zero)).alias("vec"))
+    return project(long, np.concatenate([np.asarray(root, float), *[np.asarray(b, float) for b in bases]], axis=1))
 
 
 def attention(nodes: DataFrame, edges: DataFrame, a: Sequence[float], dim: int, slope: float = 0.2) -> DataFrame:
@@ -107,8 +117,8 @@ def layer_norm(v: Column, eps: float = 1e-5) -> Column:
 
 def bilinear_scores(pairs: DataFrame, nodes: DataFrame, ws=None, wt=None) -> DataFrame:
     """score = <W_s z_u, W_t z_v>; each word is projected once; without matrices the plain dot product."""
-    s = nodes.select(F.col("word").alias("source"), (linear(F.col("vec"), ws) if ws is not None else F.col("vec")).alias("zs"))
-    t = nodes.select(F.col("word").alias("target"), (linear(F.col("vec"), wt) if wt is not None else F.col("vec")).alias("zt"))
+    s = (project(nodes, ws) if ws is not None else nodes).select(F.col("word").alias("source"), F.col("vec").alias("zs"))
+    t = (project(nodes, wt) if wt is not None else nodes).select(F.col("word").alias("target"), F.col("vec").alias("zt"))
     return pairs.join(s, "source").join(t, "target").withColumn("score", dot(F.col("zs"), F.col("zt"))).drop("zs", "zt")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from .ranks import running_sums
 
 
 def threshold_table(scored: DataFrame) -> DataFrame:
@@ -18,9 +20,8 @@ def threshold_table(scored: DataFrame) -> DataFrame:
     """
     s = scored.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isin(0, 1))
     g = s.groupBy("score").agg(F.sum("label").alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores, aggregated first
-    whole = Window.partitionBy()
-    return g.select("score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(whole).alias("n_pos"), F.sum("n").over(whole).alias("n_neg"), "p", "n")
+    t = running_sums(g, F.desc("score"), {"tp": "p", "fp": "n"})
+    return t.select("score", "tp", "fp", F.col("tp_all").alias("n_pos"), F.col("fp_all").alias("n_neg"), "p", "n")
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -83,7 +84,6 @@ def pivot_summary(s: DataFrame, metrics: list[str], row: str = "model") -> DataF
     return s.groupBy(row).pivot("metric", metrics).agg(F.first("mean"))
 
 
-#: Quantile 0.975 of Student's t by degrees of freedom 1..30, from the quantile function below.
 def t_quantile(p: float, df: int) -> float:
     """Student's t quantile by bisection on the regularised incomplete beta function."""
 
@@ -122,12 +122,34 @@ def _betainc(a: float, b: float, x: float) -> float:
     return front * (f - 1)
 
 
-def t_intervals(long: DataFrame, keys: list[str], level: float = 0.95, most: int = 200) -> DataFrame:
-    """mean -+ t * s / sqrt(n) per key and metric; one value gives the value itself."""
-    t = F.broadcast(long.sparkSession.createDataFrame([(n, t_quantile((1 + level) / 2, n - 1)) for n in range(2, most)], "n_seeds long, t double"))
-    v = long.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*keys, "metric").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count(F.lit(1)).alias("n_seeds"))
-    half = F.coalesce(F.col("t") * F.col("s") / F.sqrt("n_seeds"), F.lit(0.0))
-    return v.join(t, "n_seeds", "left").select(*keys, "metric", "n_seeds", F.round("m", 6).alias("mean"), F.round(F.col("m") - half, 6).alias("ci_low"), F.round(F.col("m") + half, 6).alias("ci_high"))
+def t_intervals(long: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
+    """mean -+ t * s / sqrt(n) per key and metric; one value gives the value itself, a group whose values are all missing NaN with n_seeds 0."""
+    good = F.col("value").isNotNull() & ~F.isnan("value")
+    value = F.when(good, F.col("value"))
+    v = long.groupBy(*keys, "metric").agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count(value).alias("n_seeds"))
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        at = {k: t_quantile((1 + level) / 2, int(k) - 1) for k in n.unique() if k > 1}
+        return n.map(lambda k: at.get(k, 0.0))
+
+    half = F.coalesce(quantile("n_seeds") * F.col("s") / F.sqrt("n_seeds"), F.lit(0.0))
+    nan = lambda c: F.round(F.coalesce(c, F.lit(float("nan"))), 6)
+    return v.select(*keys, "metric", "n_seeds", nan(F.col("m")).alias("mean"), nan(F.col("m") - half).alias("ci_low"), nan(F.col("m") + half).alias("ci_high"))
+
+
+def intervals(long: DataFrame, keys: list[str], method: str = "bca", resamples: int = 9_999, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(keys, metric, mean, ci_low, ci_high, n_seeds, ci_level, method): ``method`` is bca, percentile or t; a group without a value has NaN and n_seeds 0."""
+    t = t_intervals(long, keys, level)
+    if method != "t":
+        s = t.select(*keys, "metric", "n_seeds", "mean")
+        c = (bca_intervals if method == "bca" else percentile_intervals)(long, keys, resamples, level, seed).select(*[F.col(k).alias(f"_{k}") for k in (*keys, "metric")], "ci_low", "ci_high")
+        meet = F.lit(True)
+        for k in (*keys, "metric"):
+            meet = meet & (F.coalesce(F.col(k), F.lit("")) == F.coalesce(F.col(f"_{k}"), F.lit("")))
+        nan = F.lit(float("nan"))
+        t = s.join(c, meet, "left").select(*keys, "metric", "n_seeds", "mean", F.coalesce("ci_low", nan).alias("ci_low"), F.coalesce("ci_high", nan).alias("ci_high"))
+    return t.select(*keys, "metric", "mean", "ci_low", "ci_high", "n_seeds", F.lit(level).alias("ci_level"), F.lit(method).alias("method"))
 
 
 def bootstrap_means(long: DataFrame, keys: list[str], resamples: int, seed: int = 0) -> DataFrame:
@@ -137,21 +159,18 @@ def bootstrap_means(long: DataFrame, keys: list[str], resamples: int, seed: int
     w = Window.partitionBy(*k)
     v = v.withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     draws = v.select(*k, "i", "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("j", F.pmod(draw(seed, *[F.coalesce(F.col(c), F.lit("")) for c in k], "b", "i"), F.col("n")))
-    src = v.select(*[F.col(c).alias(f"_{c}") for c in k], F.col("i").alias("j"), "value")
-    cond = F.col("j") == src["j"]
-    for c in k:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    d = draws.alias("d").join(src.withColumnRenamed("j", "_j"), [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in k], F.col("j") == F.col("_j")])
+    src = v.select(*[F.col(c).alias(f"_{c}") for c in k], F.col("i").alias("_j"), "value")
+    d = draws.join(src, [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in k], F.col("j") == F.col("_j")])
     return d.groupBy(*k, "b").agg(F.avg("value").alias("boot"))
 
 
-def percentile_intervals(long: DataFrame, keys: list[str], resamples: int = 999, level: float = 0.95, seed: int = 0) -> DataFrame:
+def percentile_intervals(long: DataFrame, keys: list[str], resamples: int = 9_999, level: float = 0.95, seed: int = 0) -> DataFrame:
     b = bootstrap_means(long, keys, resamples, seed)
     q = F.percentile("boot", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return b.groupBy(*keys, "metric").agg(q.alias("q")).select(*keys, "metric", F.round(F.col("q")[0], 6).alias("ci_low"), F.round(F.col("q")[1], 6).alias("ci_high"))
 
 
-def bca_intervals(long: DataFrame, keys: list[str], resamples: int = 999, level: float = 0.95, seed: int = 0) -> DataFrame:
+def bca_intervals(long: DataFrame, keys: list[str], resamples: int = 9_999, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Bias-corrected and accelerated bootstrap intervals; one value gives the value itself."""
     k = [*keys, "metric"]
     v = long.filter(F.col("value").isNotNull() & ~F.isnan("value")).na.fill("", k)

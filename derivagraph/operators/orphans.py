@@ -1,10 +1,11 @@
 """References to keys that do not exist, by as-of matching against runs of existing keys.
 
-All words of both sides get integers in word order. The integers of existing
-parents are compressed into contiguous runs; each referenced integer is matched
-as of the run that starts at or before it and is an orphan beyond the run's end.
-Runs are cut at block borders, so the match is a window inside a block of
-``BLOCK`` integers, never a range join.
+Words become integers: within a hashed block the words of both sides are ranked
+in word order. The integers of existing parents are compressed into contiguous
+runs; each referenced integer is matched as of the run that starts at or before it
+and is an orphan beyond the run's end. Blocks follow the session's shuffle
+partitions, so ranking, compressing and matching are windows over one
+partitioning, never a range join.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.spelling import plain_spelling
 from ..scratch import Scratch
 
-BLOCK = 1 << 16
-
 
 def parse_instant(col) -> F.Column:
     """An ISO-8601 string with any offset (none: UTC) as UTC ``TIMESTAMP_NTZ``; null where it is none."""
@@ -26,19 +25,21 @@ def parse_instant(col) -> F.Column:
 
 
 def runs_of(ids: DataFrame) -> DataFrame:
-    """Integers ``id`` to their contiguous runs (block, start, end)."""
+    """Integers (block, id) to their contiguous runs (block, start, end)."""
     w = Window.partitionBy("block").orderBy("id")
-    d = ids.select("id").distinct().withColumn("block", F.floor(F.col("id") / BLOCK))
+    d = ids.select("block", "id").distinct()
     return d.withColumn("island", F.col("id") - F.row_number().over(w)).groupBy("block", "island").agg(F.min("id").alias("start"), F.max("id").alias("end")).drop("island")
 
 
 def beyond_runs(refs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The ``id`` of ``refs`` that no run holds."""
-    r = refs.select("id", F.floor(F.col("id") / BLOCK).alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"))
-    s = runs.select(F.col("start").alias("id"), "block", F.lit(0).alias("kind"), "end")
-    w = Window.partitionBy("block").orderBy("id", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    m = r.unionByName(s).withColumn("upto", F.last("end", ignorenulls=True).over(w))
-    return m.filter((F.col("kind") == 1) & (F.col("upto").isNull() | (F.col("id") > F.col("upto")))).select("id")
+    """The rows of ``refs`` (block, id and columns of its own) that no run (block, start, end) holds."""
+    own = [c for c in refs.columns if c not in ("block", "id")]
+    kinds = dict(refs.dtypes)
+    r = refs.select("block", "id", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), *own)
+    s = runs.select("block", F.col("start").alias("id"), F.lit(0).alias("_kind"), F.col("end").cast("long").alias("_end"), *[F.lit(None).cast(kinds[c]).alias(c) for c in own])
+    w = Window.partitionBy("block").orderBy("id", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    m = r.unionByName(s).withColumn("_upto", F.last("_end", ignorenulls=True).over(w))
+    return m.filter((F.col("_kind") == 1) & (F.col("_upto").isNull() | (F.col("id") > F.col("_upto")))).select(*refs.columns)
 
 
 def order_ids(words: DataFrame, scratch: Scratch) -> DataFrame:
@@ -58,27 +59,27 @@ def find_orphans(refs: DataFrame, parents: DataFrame, dead: DataFrame | None = N
     once; empty tables are allowed on either side.
     """
     sc = scratch or Scratch(refs.sparkSession)
-    there = parents.filter(F.col("word").isNotNull() & (F.col("word") != "")).groupBy("word").agg(
-        F.lit(True).alias("_there"), F.when(F.max(F.col("exists_from").isNull()), F.lit(None)).otherwise(F.min("exists_from")).alias("_from")
-    )
     asked = refs.filter(F.col("word").isNotNull() & (F.col("word") != ""))
-    # per key: what is asked for, what is there and what is dead, in one aggregation
-    none = F.lit(None)
-    parts = [
-        asked.select("word", F.lit(True).alias("_asked"), none.cast("boolean").alias("_there"), none.cast("timestamp_ntz").alias("_from"), none.cast("boolean").alias("_dead")),
-        there.select("word", none.cast("boolean").alias("_asked"), "_there", F.col("_from").cast("timestamp_ntz").alias("_from"), none.cast("boolean").alias("_dead")),
-    ]
+    there = parents.filter(F.col("word").isNotNull() & (F.col("word") != "")).groupBy("word").agg(F.when(F.max(F.col("exists_from").isNull()), F.lit(None)).otherwise(F.min("exists_from")).cast("timestamp_ntz").alias("_from"))
     if dead is not None:
-        parts.append(dead.select("word", none.cast("boolean").alias("_asked"), none.cast("boolean").alias("_there"), none.cast("timestamp_ntz").alias("_from"), F.lit(True).alias("_dead")))
-    keys = parts[0]
-    for p in parts[1:]:
-        keys = keys.unionByName(p)
-    keys = order_ids(keys.groupBy("word").agg(*[F.max(c).alias(c) for c in ("_asked", "_there", "_from", "_dead")]), sc)
-    live = keys.filter(F.col("_there") & F.col("_dead").isNull())
-    gone = beyond_runs(keys.filter("_asked"), runs_of(live))
-    late = live.filter(F.col("_asked") & F.col("_from").isNotNull()).select("id", F.col("_from").alias("_late"))
-    bad = keys.select("word", "id", "_there", "_dead").join(gone.withColumn("_gone", F.lit(True)), "id", "left").join(late, "id", "left")
-    verdict = sc.cut(bad.filter(F.col("_gone") | F.col("_late").isNotNull()).select("word", F.when(F.col("_gone"), F.when(F.col("_there"), F.lit("deleted")).otherwise(F.lit("missing"))).alias("_why"), "_late"))
+        there = there.join(dead.select("word", F.lit(True).alias("_dead")).distinct(), "word", "left").withColumn("_dead", F.coalesce("_dead", F.lit(False)))
+    else:
+        there = there.withColumn("_dead", F.lit(False))
+    rows = there.select("word", "_from", "_dead", F.lit(False).alias("_ref")).unionByName(asked.select("word").distinct().select("word", F.lit(None).cast("timestamp_ntz").alias("_from"), F.lit(False).alias("_dead"), F.lit(True).alias("_ref")))
+    blocks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)))
+    keys = sc.cut(rows.withColumn("id", F.dense_rank().over(Window.partitionBy("block").orderBy("word"))))
+    wanted, live = keys.filter("_ref").select("block", "id", "word"), keys.filter("NOT _ref AND NOT _dead")
+    gone = sc.cut(beyond_runs(wanted, runs_of(live)))
+    if dead is not None:
+        missing = beyond_runs(gone, runs_of(keys.filter("NOT _ref AND _dead")))
+        gone = gone.select("word").join(missing.select("word", F.lit("missing").alias("_m")), "word", "left").select("word", F.coalesce("_m", F.lit("deleted")).alias("_why"))
+    else:
+        gone = gone.select("word", F.lit("missing").alias("_why"))
+    # of words that exist, those that came at a known time
+    late = live.filter(F.col("_from").isNotNull()).select("block", "id", F.col("_from").alias("_late")).join(wanted, ["block", "id"]).select("word", "_late")
+    none = F.lit(None)
+    verdict = gone.select("word", "_why", none.cast("timestamp_ntz").alias("_late")).unionByName(late.select("word", none.cast("string").alias("_why"), "_late"))
     out = asked.join(verdict, "word")
     early = F.col("_why").isNull() & (F.col("seen_at").cast("timestamp_ntz") < F.col("_late"))
     return out.filter(F.col("_why").isNotNull() | early).withColumn("reason", F.coalesce("_why", F.lit("early"))).drop("_why", "_late")

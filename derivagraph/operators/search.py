@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from .layers import dot, l2_normalize
+from ..scratch import Scratch
+from .curate import dense_ids
+from .layers import dot, l2_normalize, project
 
 MAX_QUERIES = 20_000
 
@@ -17,6 +19,13 @@ def _packed(rows, col):
     return np.array([r[col] for r in rows], dtype=np.float64)
 
 
+def _keep_best(i, words, sims, k):
+    """The ``k`` best of each query number ``i`` by similarity, ties by word."""
+    t = pd.DataFrame({"i": i, "w": words, "s": sims}).sort_values(["i", "s", "w"], ascending=[True, False, True])
+    t = t[t.groupby("i").cumcount() < k]
+    return t["i"].to_numpy(), t["w"].to_numpy(), t["s"].to_numpy()
+
+
 def knn(queries: DataFrame, index: DataFrame, k: int, banned: str | None = None) -> DataFrame:
     """(qid, word, sim, rank): the ``k`` most similar index words of each query by cosine (6 decimals, ties by word).
 
@@ -26,43 +35,40 @@ def knn(queries: DataFrame, index: DataFrame, k: int, banned: str | None = None)
     few that are left are ranked.
     """
     out = None
+    queries = Scratch(index.sparkSession).cut(queries)
     n = queries.count()
-    for b in range(max(1, -(-n // MAX_QUERIES))):
-        q = queries if n <= MAX_QUERIES else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(-(-n // MAX_QUERIES))) == b)
+    blocks = max(1, -(-n // MAX_QUERIES))
+    for b in range(blocks):
+        q = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
         rows = q.collect()  # at most about MAX_QUERIES
         if not rows:
             continue
-        ids = [r["qid"] for r in rows]
+        ids = np.array([r["qid"] for r in rows], dtype=object)
         m = _packed(rows, "vec")
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        skip = [set(r[banned] or ()) for r in rows] if banned else None
+        most = max((len(r[banned] or ()) for r in rows), default=0) if banned else 0
+        skip = np.array([[*(r[banned] or ()), *[None] * (most - len(r[banned] or ()))] for r in rows], dtype=object) if most else None
 
-        def scan(batches, ids=ids, m=m, skip=skip):
-            best_w, best_s = [[] for _ in ids], [[] for _ in ids]
+        def scan(batches, ids=ids, m=m, skip=skip, most=most):
+            bi, bw, bs = np.zeros(0, int), np.zeros(0, object), np.zeros(0)
             for batch in batches:
                 if not len(batch):
                     continue
                 words = batch["word"].to_numpy()
                 v = np.stack(batch["vec"].to_numpy()).astype(np.float64)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = np.round(m @ v.T, 6)
-                for i in range(len(ids)):
-                    take = min(len(words), k + (len(skip[i]) if skip else 0))
-                    cut = np.partition(s[i], len(words) - take)[len(words) - take]
-                    for j in np.flatnonzero(s[i] >= cut):
-                        if not skip or words[j] not in skip[i]:
-                            best_w[i].append(words[j])
-                            best_s[i].append(s[i, j])
-                    if len(best_w[i]) > 8 * k:
-                        o = sorted(range(len(best_w[i])), key=lambda x, i=i: (-best_s[i][x], best_w[i][x]))[:k]
-                        best_w[i], best_s[i] = [best_w[i][x] for x in o], [best_s[i][x] for x in o]
-            q_, w_, s_ = [], [], []
-            for i, qid in enumerate(ids):
-                o = sorted(range(len(best_w[i])), key=lambda x, i=i: (-best_s[i][x], best_w[i][x]))[:k]
-                q_ += [qid] * len(o)
-                w_ += [best_w[i][x] for x in o]
-                s_ += [best_s[i][x] for x in o]
-            yield pd.DataFrame({"qid": q_, "word": w_, "sim": s_})
+                take = min(len(words), k + most)
+                for at in range(0, len(ids), 1024):
+                    s = np.round(m[at : at + 1024] @ v.T, 6)
+                    cut = np.partition(s, len(words) - take, axis=1)[:, len(words) - take]
+                    i, j = np.nonzero(s >= cut[:, None])
+                    ok = ~(words[j][:, None] == skip[at + i]).any(1) if skip is not None else np.ones(len(i), bool)
+                    i, j = i[ok], j[ok]
+                    bi, bw, bs = np.concatenate([bi, at + i]), np.concatenate([bw, words[j]]), np.concatenate([bs, s[i, j]])
+                if len(bi) > 4 * k * len(ids):
+                    bi, bw, bs = _keep_best(bi, bw, bs, k)
+            bi, bw, bs = _keep_best(bi, bw, bs, k)
+            yield pd.DataFrame({"qid": ids[bi], "word": bw, "sim": bs})
 
         kind = dict(queries.dtypes)["qid"]
         part = index.select("word", "vec").mapInPandas(scan, f"qid {kind}, word string, sim double")
@@ -95,7 +101,8 @@ def analogy_queries(edges: DataFrame, index: DataFrame, pairs: int = 24, most: i
 
 def analogy_accuracy(edges: DataFrame, index: DataFrame, ks=(1, 5, 10), pairs: int = 24, most: int = 500) -> DataFrame:
     """Per relation the share of queries with a known target of (relation, base) among the first k."""
-    q = analogy_queries(edges, index, pairs, most).withColumn("qid", F.concat_ws("|", "relation", "i", "j"))
+    index = Scratch(index.sparkSession).cut(index.select("word", "vec"))
+    q = Scratch(index.sparkSession).cut(analogy_queries(edges, index, pairs, most).withColumn("qid", F.concat_ws("|", "relation", "i", "j")))
     near = knn(q.select("qid", "vec", F.array("s", "t", "base").alias("skip")), index, max(ks), "skip")
     ok = edges.select("relation", F.col("source").alias("base"), F.col("target").alias("word")).distinct()
     hit = near.join(q.select("qid", "relation", "base"), "qid").join(ok, ["relation", "base", "word"]).groupBy("qid").agg(F.min("rank").alias("first"))
@@ -103,23 +110,51 @@ def analogy_accuracy(edges: DataFrame, index: DataFrame, ks=(1, 5, 10), pairs: i
     return r.groupBy("relation").agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg((F.coalesce("first", F.lit(1 << 30)) <= k).cast("int")), 6).alias(f"acc_{k}") for k in ks])
 
 
-def ranking_candidates(tests: DataFrame, known: DataFrame, words: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """(source, target, word): up to ``n`` drawn words a test pair that are no known target of the source; fewer where there are no more."""
-    w = words.select("word").distinct().withColumn("i", F.row_number().over(Window.orderBy("word")) - 1)
-    total = w.count()
-    d = tests.select("source", "target").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2 * n - 1)))).withColumn("i", F.pmod(draw(seed, "source", "target", "k"), F.lit(max(total, 1))))
-    d = d.join(w, "i").filter("word <> target").groupBy("source", "target", "word").agg(F.min("k").alias("k"))
-    d = d.join(known.select("source", F.col("target").alias("word")).distinct(), ["source", "word"], "left_anti")
-    at = Window.partitionBy("source", "target").orderBy("k")
-    return d.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= n).select("source", "target", "word")
+def ranking_candidates(tests: DataFrame, known: DataFrame, words: DataFrame, n: int, seed: int = 42, rounds: int = 4) -> DataFrame:
+    """(source, target, word): exactly ``n`` words a test pair that are no known target of the source nor the target; all there are where fewer exist.
 
-
-def filtered_ranks(tests: DataFrame, known: DataFrame, index: DataFrame, n: int = 299, seed: int = 42) -> DataFrame:
-    """(source, target, rank): 1 + the candidates that score above the true target (dot product, 6 decimals)."""
+    2 n hashed draws a round, only for pairs that still lack some; pairs left
+    after ``rounds`` rounds take words in word order: of the first 2 n + degree
+    at least what is missing is free.
+    """
+    sc = Scratch(tests.sparkSession)
+    ids = sc.cut(dense_ids(words).select(F.col("id").alias("i"), "word"))
+    total = max(ids.count(), 1)
+    pairs = sc.cut(tests.select("source", "target").distinct())
+    taken = sc.cut(known.select("source", F.col("target").alias("word")).distinct())
+    open_, have = pairs, None
+    at = Window.partitionBy("source", "target").orderBy("k", "word")
+
+    def best(c: DataFrame) -> DataFrame:
+        c = c.groupBy("source", "target", "word").agg(F.min("k").alias("k"))
+        return c.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= n).drop("at")
+
+    for r in range(rounds + 1):
+        if r < rounds:
+            k = F.sequence(F.lit(2 * n * r).cast("long"), F.lit(2 * n * (r + 1) - 1).cast("long"))
+            d = open_.withColumn("k", F.explode(k)).withColumn("i", F.pmod(draw(seed, "source", "target", "k"), F.lit(total)))
+        else:
+            deg = taken.groupBy("source").agg(F.count(F.lit(1)).alias("deg"))
+            up_to = F.least(F.lit(total), F.lit(2 * n + 1) + F.coalesce("deg", F.lit(0))) - 1
+            d = open_.join(deg, "source", "left").select("source", "target", F.explode(F.sequence(F.lit(0).cast("long"), up_to.cast("long"))).alias("i")).withColumn("k", F.lit(2 * n * rounds) + F.col("i"))
+        c = d.join(ids, "i").filter("word <> target").select("source", "target", "word", "k").join(taken, ["source", "word"], "left_anti")
+        have = sc.cut(best(c if have is None else c.unionByName(have)), "have")
+        full = have.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= n)
+        open_ = sc.cut(pairs.join(full, ["source", "target"], "left_anti"), "open")
+        if open_.limit(1).count() == 0:
+            break
+    return have.select("source", "target", "word")
+
+
+def filtered_ranks(tests: DataFrame, known: DataFrame, index: DataFrame, n: int = 299, seed: int = 42, ws=None, wt=None) -> DataFrame:
+    """(source, target, rank): 1 + the candidates that score above the true target (6 decimals); the score is <W_s u, W_t v>, the dot product without matrices."""
     v = index.select("word", "vec")
-    t = tests.select("source", "target").distinct().join(v.select(F.col("word").alias("source"), F.col("vec").alias("vs")), "source").join(v.select(F.col("word").alias("target"), F.col("vec").alias("vt")), "target")
+    sc = Scratch(index.sparkSession)
+    src = sc.cut(project(v, ws)) if ws is not None else v
+    tgt = sc.cut(project(v, wt)) if wt is not None else v
+    t = tests.select("source", "target").distinct().join(src.select(F.col("word").alias("source"), F.col("vec").alias("vs")), "source").join(tgt.select(F.col("word").alias("target"), F.col("vec").alias("vt")), "target")
     t = t.select("source", "target", "vs", F.round(dot(F.col("vs"), F.col("vt")), 6).alias("true"))
-    c = ranking_candidates(t, known, v, n, seed).join(v, "word").select("source", "target", "vec")
+    c = ranking_candidates(t, known, v, n, seed).join(tgt, "word").select("source", "target", "vec")
     s = t.join(c, ["source", "target"], "left").withColumn("above", F.coalesce((F.round(dot(F.col("vs"), F.col("vec")), 6) > F.col("true")).cast("int"), F.lit(0)))
     return s.groupBy("source", "target").agg((1 + F.sum("above")).alias("rank"))
 

@@ -20,16 +20,16 @@ def _links(spark, d):
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return build_hierarchy(_links(spark, d)).select("word", "root", "node_depth")
+    return build_hierarchy(_links(spark, d), with_parent=False).select("word", "root", "node_depth")
 
 
 def p2_nested_sets(spark: SparkSession, d: str) -> DataFrame:
-    h = build_hierarchy(_links(spark, d), with_path=True)
+    h = build_hierarchy(_links(spark, d), with_path=True, with_parent=False)
     return h.select("word", "root", "node_depth", F.array_join("path", "/").alias("full_path"), F.col("size").alias("n_subtree"))
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(build_hierarchy(_links(spark, d), with_path=True))
+    return descendants(build_hierarchy(_links(spark, d), with_parent=False))
 
 
 def p2_rings(spark: SparkSession, d: str) -> DataFrame:

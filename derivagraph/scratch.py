@@ -3,26 +3,31 @@
 Iterative plans (components, pointer doubling, propagation) must not grow their
 lineage without end, and must survive the loss of any executor. ``Scratch.cut``
 writes a DataFrame once as Parquet into the folder every executor shares and
-reads it back; a superseded round is dropped at once, the rest at exit.
+reads it back. A table superseded under its name is dropped at once; the rest
+stays while results may still read it, until ``Scratch.close``, ``close_all`` or
+the end of the program.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_KEPT: list[tuple[SparkSession, str]] = []
+_OPEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset: a folder of our own on a single machine, an error on a cluster."""
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not named:
+        master = conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="derivagraph-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -37,13 +42,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _sweep() -> None:
-    for spark, path in _KEPT:
+def close_all() -> None:
+    """Drops the tables of all runs; results that read them are void then."""
+    for root, spark in list(_OPEN.items()):
         try:
-            _remove(spark, path)
+            _remove(spark, root)
         except Exception:  # the context may be gone already
             pass
-    _KEPT.clear()
+    _OPEN.clear()
 
 
 class Scratch:
@@ -53,9 +59,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.made = 0
-        self.rounds = 0
         self.at: dict[str, str] = {}
-        _KEPT.append((spark, self.root))
+        _OPEN[self.root] = spark
 
     def cut(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """Write ``df`` and read it back. A table cut before under the same ``name`` is dropped after."""
@@ -63,26 +68,21 @@ class Scratch:
         path = f"{self.root}/{self.made}"
         df.write.parquet(path)
         if name:
-            old = self.at.get(name)
-            if old:
-                _remove(self.spark, old)
-                self.release()
+            self.drop(name)
             self.at[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Shuffle files of superseded rounds go when the driver collects its garbage; a long loop asks for it."""
-        self.rounds += 1
-        if self.rounds % 3 == 0:
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.at.pop(name, None)
             if path:
                 _remove(self.spark, path)
 
+    def close(self) -> None:
+        """Drops all tables of the run, once its result has been written or read."""
+        _remove(self.spark, self.root)
+        _OPEN.pop(self.root, None)
+
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` if it has at most ``max_rows`` rows (they are counted); else leave the join to Catalyst."""

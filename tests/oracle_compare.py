@@ -47,6 +47,7 @@ if __name__ == "__main__":
     from conftest import make_spark
 
     import __spark_entry__ as e
+    from derivagraph.scratch import close_all
 
     d, names = sys.argv[1], sys.argv[2:]
     spark, con, q, o = make_spark(), connect(d), e.queries(), e.oracle_sql()
@@ -68,4 +69,5 @@ if __name__ == "__main__":
         except Exception as x:
             bad += 1
             print(f"FAIL {n}: {str(x)[:600]}", flush=True)
+        close_all()
     sys.exit(bad > 0)

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 from derivagraph.functions import rules, text
-from derivagraph.functions.spelling import to_plain
+from derivagraph.functions.spelling import plain_spelling, to_plain
 from derivagraph.operators import crawl, curate, derive, embed, graph, layers, metrics, orphans, sampling, search, training
 from derivagraph.operators.components import connected_components
 from derivagraph.operators.hierarchy import build_hierarchy, descendants, ring_members, subtree
@@ -66,8 +66,10 @@ def test_hierarchy(spark):
             continue
         b = below(w)
         assert r["size"] == len(b) and r["path"][-1] == w and len(r["path"]) == r["node_depth"] + 1
-        assert {x for x, q in got.items() if q["root"] == r["root"] and q["pre"] is not None and r["pre"] <= q["pre"] <= r["post"]} == b
-    d = {tuple(x) for x in descendants(h).select("ancestor", "descendant").collect()}
+        assert {x for x, q in got.items() if q["pre"] is not None and r["pre"] <= q["pre"] <= r["post"]} == b
+    d = {(x["ancestor"], x["descendant"]) for x in descendants(h).collect() if x["distance"] == got[x["descendant"]]["node_depth"] - got[x["ancestor"]]["node_depth"]}
+    assert sorted(r["pre"] for r in got.values() if not r["on_ring"]) == list(range(sum(not r["on_ring"] for r in got.values())))
+    assert {w: r["parent"] for w, r in got.items() if r["parent"]} == par and descendants(h).count() == len(d)
     assert d == {(w, x) for w, r in got.items() if not r["on_ring"] for x in below(w) - {w}}
     assert {r["word"] for r in subtree(h, "hub").collect()} == below("hub") - {"hub"}
     rings = {tuple(r) for r in ring_members(df, h).collect()}
@@ -91,9 +93,16 @@ def test_orphans(spark):
 
 
 def test_runs_and_borders(spark):
-    ids = spark.createDataFrame([(i,) for i in [1, 2, 3, 7, 8, orphans.BLOCK - 1, orphans.BLOCK, orphans.BLOCK + 1]], "id long")
-    asked = spark.createDataFrame([(i,) for i in [0, 3, 4, 8, 9, orphans.BLOCK, orphans.BLOCK + 2]], "id long")
-    assert sorted(r["id"] for r in orphans.beyond_runs(asked, orphans.runs_of(ids)).collect()) == [0, 4, 9, orphans.BLOCK + 2]
+    ids = spark.createDataFrame([(b, i) for b in (0, 1) for i in [1, 2, 3, 7, 8]] + [(1, 9)], "block long, id long")
+    asked = spark.createDataFrame([(0, i, "x") for i in [0, 3, 4, 8, 9]] + [(1, 9, "x"), (1, 10, "y"), (2, 1, "z")], "block long, id long, word string")
+    assert sorted((r["block"], r["id"]) for r in orphans.runs_of(ids).selectExpr("block", "`end` AS id").collect()) == [(0, 3), (0, 8), (1, 3), (1, 9)]
+    assert sorted(tuple(r) for r in orphans.beyond_runs(asked, orphans.runs_of(ids)).collect()) == [(0, 0, "x"), (0, 4, "x"), (0, 9, "x"), (1, 10, "y"), (2, 1, "z")]
+
+
+def test_plain_spelling_of_words_with_a_line_break(spark):
+    rows = [("գիր\n",), ("գիր\r\n",), ("գիր\u0085",), ("գիր\u2028",), ("գիր",), (None,), ("",), ("եւ",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "w string").select(plain_spelling("w")).collect()]
+    assert got == ["գիր"] * 5 + [None, "", "և"]
 
 
 def test_instants(spark):
@@ -105,7 +114,9 @@ def test_instants(spark):
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(100)] + [(200, 200 + i) for i in range(300)] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(150)] + [(7000, 7000), (None, 3), (1, 2)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(df, local=0).collect()}
+    assert connected_components(df).count() == len(got) and got == {r["node"]: r["component"] for r in connected_components(df).collect()}
     par = {}
 
     def find(x):
