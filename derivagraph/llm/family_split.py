@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.spelling import filled, plain_spelling
 from ..operators.components import connected_components
 from ..operators.orphans import order_ids
+from ..operators.ranks import running_sums
 from ..operators.relations import with_relation
 from ..scratch import Scratch
 
 SHARES = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 #: Families of at least 1 / LARGE of all records are placed one by one; there are at most LARGE of them.
 LARGE = 1_000
-SLICES = 64
 
 
 def families(edges: DataFrame, names: DataFrame, scratch: Scratch, excluded_class: str = "compounding") -> DataFrame:
@@ -36,15 +36,18 @@ def families(edges: DataFrame, names: DataFrame, scratch: Scratch, excluded_clas
     e = with_relation(edges.filter(filled("source", "target", "relation") & F.col("edge_id").isNotNull()).select("edge_id", "source", "target", "relation"), names)
     tie = F.col("_class").isNotNull() & (F.col("_class") != excluded_class)
     e = scratch.cut(e.select("edge_id", F.coalesce("_canonical", "_label").alias("label"), tie.alias("tie"), plain_spelling("source").alias("s"), plain_spelling("target").alias("t")))
-    ids = order_ids(e.select(F.col("t").alias("word")).union(e.filter("tie").select("s")).distinct(), scratch)
-    # record - entity links, written as pairs of entities of one record
+    firsts = e.groupBy(F.col("t").alias("word")).agg(F.min("edge_id").alias("first"))  # before the families are known: one row a word from here on
     pairs = e.filter("tie").select("s", "t").distinct()
-    pairs = pairs.join(ids.select(F.col("word").alias("s"), F.col("id").alias("a")), "s").join(ids.select(F.col("word").alias("t"), F.col("id").alias("b")), "t").select("a", "b")
+    words = scratch.cut(firsts.unionByName(pairs.select(F.col("s").alias("word"), F.lit(None).cast("long").alias("first"))).groupBy("word").agg(F.min("first").alias("first")))
+    ids = order_ids(words, scratch)
+    # record - entity links, written as pairs of entities of one record
+    key = ids.select("word", "id")
+    pairs = pairs.join(key.select(F.col("word").alias("s"), F.col("id").alias("a")), "s").join(key.select(F.col("word").alias("t"), F.col("id").alias("b")), "t").select("a", "b")
     parts = connected_components(pairs, scratch)
-    fam = ids.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("word").alias("t"), F.coalesce("component", "id").alias("family"))
-    e = scratch.cut(e.select("edge_id", "label", "t").join(fam, "t").select("edge_id", "label", "family"))
-    first = e.groupBy("family").agg(F.min("edge_id").alias("group_first"))
-    return e.join(first, "family").select("edge_id", "label", "group_first")
+    fam = scratch.cut(ids.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("word", "first", F.coalesce("component", "id").alias("family")))
+    head = fam.groupBy("family").agg(F.min("first").alias("group_first"))
+    fam = fam.filter(F.col("first").isNotNull()).join(head, "family").select(F.col("word").alias("t"), "group_first")
+    return e.select("edge_id", "label", "t").join(fam, "t").select("edge_id", "label", "group_first")
 
 
 def _place_large(large: list[tuple[int, int, dict[str, int]]], labels: dict[str, int], shares) -> dict[int, str]:
@@ -76,8 +79,8 @@ def assign_splits(fams: DataFrame, scratch: Scratch, shares=SHARES) -> DataFrame
     A family's stratum is its most frequent label. Within a stratum the small
     families lie one after another in hashed order, and each goes to the split in
     whose range its middle falls; the ranges are the shares less what the large
-    families hold already. Running totals are taken in ``SLICES`` slices first,
-    so that a stratum with most of the rows is no single task.
+    families hold already. Running totals go over range partitions, so that a
+    stratum with most of the rows is no single task.
     """
     spark = fams.sparkSession
     fams = scratch.cut(fams)
@@ -97,12 +100,12 @@ def assign_splits(fams: DataFrame, scratch: Scratch, shares=SHARES) -> DataFrame
     whole = sum(rest.values()) or 1.0
 
     small = g.filter(F.col("n") < bar).withColumn("h", F.xxhash64(F.lit("split"), "group_first"))
-    small = small.withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
-    w = Window.partitionBy("stratum").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = small.groupBy("stratum", "slice").agg(F.sum("n").alias("of")).select("stratum", "slice", F.coalesce(F.sum("of").over(w), F.lit(0)).alias("base"), F.sum("of").over(Window.partitionBy("stratum")).alias("all"))
-    inner = Window.partitionBy("stratum", "slice").orderBy("h", "group_first").rowsBetween(Window.unboundedPreceding, -1)
-    small = small.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(base, ["stratum", "slice"])
-    x = (F.col("base") + F.col("before") + F.col("n") / 2) / F.col("all")
+    small = running_sums(small, F.struct("stratum", "h", "group_first"), {"upto": "n"})
+    strata = scratch.cut(small.groupBy("stratum").agg(F.sum("n").alias("all")))  # one row a label
+    before = Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+    strata = strata.select("stratum", "all", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    small = small.join(F.broadcast(strata), "stratum")
+    x = (F.col("upto") - F.col("base") - F.col("n") / 2) / F.col("all")
     split, upto = F.lit(shares[-1][0]), 1.0
     for s, _ in shares[::-1][1:]:
         upto = sum(rest[t] for t, _ in shares[: [t for t, _ in shares].index(s) + 1]) / whole

@@ -17,7 +17,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spelling import ECH_YIWN, EW, HYPHENS, LOOK_ALIKES, PLAIN_FORM, SCRIPT_ORDER, SCRIPT_RANGES, is_invisible
+from ..functions.spelling import ECH_YIWN, EW, HYPHENS, LOOK_ALIKES, SCRIPT_ORDER, SCRIPT_RANGES, is_invisible, known_plain
 
 
 @cache
@@ -94,8 +94,7 @@ def _compose(run):
 
 def needs_work(col="written"):
     """Not known to be plain by its form alone (the form is a fixed point of the whole procedure)."""
-    c = F.col(col)
-    return ~(c.rlike(f"^{PLAIN_FORM}$") & ~c.contains(ECH_YIWN))
+    return ~known_plain(F.col(col))
 
 
 def plain_forms(texts: DataFrame) -> DataFrame:

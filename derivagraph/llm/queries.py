@@ -165,6 +165,11 @@ ORACLES = {
         FROM recs a JOIN recs b ON a.rel = b.rel AND a.s = b.s AND {_one_edit('a.t', 'b.t')} WHERE a.split = 'train' AND b.split <> 'train'
         UNION SELECT least(a.sample_id, b.sample_id), greatest(a.sample_id, b.sample_id)
         FROM recs a JOIN recs b ON a.rel = b.rel AND a.t = b.t AND {_one_edit('a.s', 'b.s')} WHERE a.split = 'train' AND b.split <> 'train'""",
+    "p1_report": f"""WITH {_P1}, hit AS (SELECT b.sample_id, max(length(a.s) + length(a.t) > length(b.s) + length(b.t) OR (a.s = b.s AND a.t = b.t)) AS whole, max(a.s = b.s AND a.t = b.t) AS same
+        FROM recs a JOIN recs b ON a.rel = b.rel AND ((a.s = b.s AND {_one_edit('a.t', 'b.t')}) OR (a.t = b.t AND {_one_edit('a.s', 'b.s')})) WHERE a.split = 'train' AND b.split <> 'train' GROUP BY b.sample_id)
+        SELECT split, s AS source, count(*) AS n_rows, count(h.sample_id) AS n_overlapping, coalesce(sum(same::INT), 0)::BIGINT AS n_same,
+        round(coalesce(avg(CASE WHEN whole THEN 1.0 WHEN h.sample_id IS NOT NULL THEN (length(s) + length(t) - 1)::DOUBLE / (length(s) + length(t)) END), 0), 6) AS mean_coverage
+        FROM recs r LEFT JOIN hit h USING (sample_id) WHERE split <> 'train' GROUP BY split, s""",
     "p4_found": f"WITH {plain_ctes(_STRINGS)} SELECT w AS written, p AS plain FROM plain WHERE w <> p",
     "p4_variants": f"WITH {plain_ctes(_STRINGS)}, n AS (SELECT w, count(*) AS n FROM ({_STRINGS}) GROUP BY w) SELECT p AS plain, count(*) AS n_forms, sum(n)::BIGINT AS n_rows FROM n JOIN plain USING (w) GROUP BY p HAVING count(*) > 1",
     "p5_found": f"""WITH RECURSIVE {_VECTORS}, _r AS (SELECT a, a AS b FROM sim UNION SELECT r.a, s.b FROM _r r JOIN sim s ON s.a = r.b),

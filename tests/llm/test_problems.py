@@ -53,19 +53,45 @@ def test_overlaps_equal_brute_force_with_a_hot_anchor(spark, names, monkeypatch)
         rows.append((i, rng.choice(["train", "train", "val", "test"]), src, rng.choice(["root_compound", " ROOT_COMPOUND", "nominalization"]), dst, 1, "x", "y"))
     rows += [(900, None, "ա", "nominalization", "բ", 1, "", ""), (901, "train", None, "nominalization", "բ", None, None, None), (902, "val", "ա", "", "բ", 0, "", ""), (903, "val", rows[0][2], rows[0][3], rows[0][4], 0, "", "")]
     df = spark.createDataFrame(rows, SAMPLE)
-    members, matches = overlap.overlaps(overlap.records(df, names))
-    got = [tuple(r) for r in overlap.overlap_pairs(members, matches).collect()]
+    found = overlap.overlaps(overlap.records(df, names))
+    matches = found[2]
+    got = [tuple(r) for r in overlap.overlap_pairs(*found).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute_pairs(rows)
     cov = matches.select("coverage").toPandas().coverage
     assert ((cov > 0) & (cov <= 1)).all()
-    rep = overlap.overlap_report(members, matches).toPandas()
+    rep = overlap.overlap_report(*found).toPandas()
     assert rep.n_rows.sum() == sum(1 for r in rows if r[1] in ("val", "test") and r[2] and r[3])
 
 
 def test_overlaps_of_nothing(spark, names):
-    members, matches = overlap.overlaps(overlap.records(spark.createDataFrame([], SAMPLE), names))
-    assert members.count() == matches.count() == 0
+    found = overlap.overlaps(overlap.records(spark.createDataFrame([], SAMPLE), names))
+    assert found[2].count() == overlap.overlap_pairs(*found).count() == overlap.overlap_report(*found).count() == 0
+
+
+def test_coverage_counts_matched_letters(spark, names):
+    rows = [(1, "train", "աբգդ", "nominalization", "ե"), (2, "val", "աբգ", "nominalization", "ե"), (3, "test", "աբգդզ", "nominalization", "ե"), (4, "test", "աբգէ", "nominalization", "ե"), (5, "val", "աբգդ", "nominalization", "ե")]
+    df = spark.createDataFrame([(*r, 1, "", "") for r in rows], SAMPLE)
+    _, _, m = overlap.overlaps(overlap.records(df, names))
+    assert {r["b"]: round(r["coverage"], 6) for r in m.collect()} == {2: 1.0, 3: round(5 / 6, 6), 4: 0.8, 1: 1.0}
+
+
+def test_winnowing_equals_brute_force():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("աբգ", k=rng.choice([0, 1, 2, 3, 5, 9, 40, 700]))) for _ in range(60)]
+    i, h, at = overlap.winnow(texts)
+    got = {}
+    for a, b, c in zip(i.tolist(), h.tolist(), at.tolist(), strict=True):
+        got.setdefault(a, set()).add((b, c))
+    for k, t in enumerate(texts):
+        p = "\x02" + t + "\x03"
+        grams = [int(overlap._mixed(np.array([ord(p[x])], np.uint64), np.array([ord(p[x + 1])], np.uint64))[0]) for x in range(len(p) - 1)]
+        w = max(1, (len(t) - 2) // 2)
+        want = set()
+        for s in range(len(grams) - w + 1):
+            best = min(range(s, s + w), key=lambda x: (grams[x] >> 24, x))
+            want.add((grams[best], best))
+        assert got[k] == (want | {(0, 0)} if len(t) <= 1 else want)
 
 
 def test_plain_forms_agree_with_the_word_function(spark):
