@@ -4,9 +4,10 @@ import math
 import random
 
 import numpy as np
+import pytest
 from derivagraph.functions import rules, text
 from derivagraph.functions.spelling import plain_spelling, to_plain
-from derivagraph.operators import crawl, curate, derive, embed, graph, layers, metrics, orphans, sampling, search, training
+from derivagraph.operators import crawl, curate, derive, embed, graph, layers, metrics, models, orphans, sampling, search, tape, training
 from derivagraph.operators.components import connected_components
 from derivagraph.operators.hierarchy import build_hierarchy, descendants, ring_members, subtree
 from derivagraph.scratch import Scratch
@@ -357,3 +358,109 @@ def test_stream(spark, tmp_path):
     q = derive_stream(page_stream(spark, str(tmp_path / "in")), spark.createDataFrame(WORDS, "word string, pos string"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(180)
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def dense_loss(kind, p, x, links, pairs, dim_hid, heads):
+    """Loss of a two-layer model by plain loops over nodes and links."""
+    n = len(x)
+    into = {i: [] for i in range(n)}
+    for s, d, t in links:
+        into[d].append((s, t))
+    if kind in ("gcn", "gat"):
+        for i in range(n):
+            into[i].append((i, 0))
+
+    def layer(h, name, heads):
+        out = []
+        for i in range(n):
+            if kind == "gcn":
+                agg = sum((h[j] / np.sqrt(len(into[i]) * len(into[j])) for j, _ in into[i]), np.zeros(h.shape[1]))
+                out.append(p[name + "w"] @ agg + p[name + "b"])
+            elif kind == "sage":
+                agg = np.mean([h[j] for j, _ in into[i]], 0) if into[i] else np.zeros(h.shape[1])
+                out.append(p[name + "w"] @ agg + p[name + "b"] + p[name + "self"] @ h[i])
+            elif kind == "rgcn":
+                y = p[name + "b"] + p[name + "self"] @ h[i]
+                bases = np.split(p[name + "w"], p[name + "mix"].shape[1], axis=1)
+                for t in {t for _, t in into[i]}:
+                    w = sum(c * b for c, b in zip(p[name + "mix"][t], bases, strict=True))
+                    y = y + w @ np.mean([h[j] for j, u in into[i] if u == t], 0)
+                out.append(y)
+            else:
+                width = p[name + "a"].shape[1]
+                wl, wr = np.split(p[name + "lr"], 2)
+                y = p[name + "b"] * 1.0
+                near = sorted({j for j, _ in into[i]})
+                for k in range(heads):
+                    l, r = wl[k * width : (k + 1) * width], wr[k * width : (k + 1) * width]
+                    e = np.array([p[name + "a"][k] @ np.where((z := l @ h[j] + r @ h[i]) > 0, z, 0.2 * z) for j in near])
+                    a = np.exp(e - e.max())
+                    y = y + sum(q * (l @ h[j]) for q, j in zip(a / a.sum(), near, strict=True)) / heads
+                out.append(y)
+        return np.array(out)
+
+    h = np.maximum(layer(x, "c1", heads), 0)
+    h = (h - h.mean(1, keepdims=True)) / np.sqrt(h.var(1, keepdims=True) + 1e-5)
+    z = layer(np.concatenate([h, x], 1), "c2", 1)
+    z = z / np.linalg.norm(z, axis=1, keepdims=True)
+    sc = lambda u, v: (p["ws"] @ z[u]) @ (p["wt"] @ z[v])
+    return float(np.mean([np.log1p(np.exp(-(sc(u, v) - sc(u, w)))) for u, v, w in pairs]))
+
+
+@pytest.mark.parametrize("kind", models.KINDS)
+def test_models_gradients(spark, kind):
+    rng = np.random.default_rng(11)
+    n, feat, hid, out = 7, 3, 4, 3
+    x = rng.standard_normal((n, feat))
+    links = [(a, b, t) for a, b, t in {(int(rng.integers(n)), int(rng.integers(n)), int(rng.integers(2))) for _ in range(12)} if a != b]
+    if kind == "gat":
+        links = list({(a, b): (a, b, t) for a, b, t in links}.values())
+    pairs = [(0, 1, 2), (3, 4, 5), (6, 0, 3)]
+    nodes = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "id long, vec array<double>")
+    sc = Scratch(spark)
+    m = models.Encoder(nodes, spark.createDataFrame(links, "src long, dst long, etype int"), kind, feat, hid, out, sc, types=2, heads=2, bases=2, seed=5)
+    z = m.encode()
+    loss, grads, dz = models.link_gradient(z, spark.createDataFrame(pairs, "u long, v long, w long"), m.p, out, sc)
+    grads |= m.gradient(dz)
+    assert math.isclose(loss, dense_loss(kind, m.p, x, links, pairs, hid, 2), rel_tol=1e-9)
+    assert set(grads) == set(m.p)
+    for k, g in grads.items():
+        at = np.unravel_index(int(rng.integers(g.size)), g.shape)
+        old, eps = m.p[k][at], 1e-5
+        m.p[k][at] = old + eps
+        up = dense_loss(kind, m.p, x, links, pairs, hid, 2)
+        m.p[k][at] = old - eps
+        down = dense_loss(kind, m.p, x, links, pairs, hid, 2)
+        m.p[k][at] = old
+        assert math.isclose(g[at], (up - down) / (2 * eps), rel_tol=1e-4, abs_tol=1e-7), k
+
+
+def test_row_local_gradients():
+    """Embedder, heads and ensemble modes against finite differences."""
+    rng = np.random.default_rng(2)
+    ids = np.arange(5)
+    two = lambda a, b: rng.standard_normal((a, b)) * 0.5
+    emb = {"cat0": two(3, 16), "cat1": two(2, 16), "tri": two(9, 32), "conv3": two(32, 96), "conv3b": np.full(32, 0.1), "conv5": two(32, 160), "conv5b": np.full(32, 0.1), "proj": two(4, 96), "projb": np.full(4, 0.1)}
+    feats = {"cat": rng.integers(0, 2, (5, 2)), "tri": np.array([[1, 2, 3], [], [4] * 40, None, [8, 1]], dtype=object)}
+    vecs = {c: two(5, 3) for c in ("u", "v", "w", "vec")} | {"etype": np.array([0, 1, -1, 2, 0]), "label": np.array([1, 0, -1, 1, 1])}
+    heads = {"ws": two(3, 3), "wt": two(3, 3), **models.head_params(3, 3, 2)}
+    both = {"gnn": two(5, 3), "aux": two(5, 2)}
+    cases = [(emb, feats, lambda p, x, i: models.embed(p, x, i, 0.3, 7)), (heads, vecs, lambda p, x, i: models.pair_loss(p, x, i, 0.3)), (heads, vecs, models.pos_loss)]
+    cases += [(models.ensemble_params(mode, 3, 2, 4), both, lambda p, x, i, mode=mode: models.mixed(p, x, i, mode)) for mode in models.MODES]
+    for params, x, fn in cases:
+        t = {k: tape.T(v.copy()) for k, v in params.items()}
+        y = fn(t, x, ids)
+        up = rng.standard_normal(y.shape)
+        tape.gradients(y, up)
+        value = lambda: float((fn({k: tape.T(v) for k, v in params.items()}, x, ids).v * up).sum())  # noqa: E731, B023
+        for k in params:
+            if t[k].g is None:
+                continue
+            at = np.unravel_index(int(rng.integers(params[k].size)), params[k].shape)
+            old = params[k][at]
+            params[k][at] = old + 1e-6
+            a = value()
+            params[k][at] = old - 1e-6
+            b = value()
+            params[k][at] = old
+            assert math.isclose(t[k].g[at], (a - b) / 2e-6, rel_tol=1e-3, abs_tol=1e-6), k
