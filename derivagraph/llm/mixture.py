@@ -5,8 +5,13 @@ is fixed first: its target share of the total, or its tokens times its cap on
 repeats where that is less, the others making up for it in proportion. Every
 source's stream of documents is then cut to blocks of equal size; block i of a
 source of weight w is released at floor(i / w) and due at ceil((i + 1) / w), and
-the earliest deadline among the released goes first. At every point of the
-mixture each source is then less than one block from its share.
+the earliest deadline among the released goes first. The mixture is scheduled in
+frames of at most ``FRAME`` slots, each by itself and on any executor: a frame
+gets whole blocks of each source so that at its ends each has the floor of its
+share, the largest source what is left. Inside a frame each source is less than
+one block from the frame's own line, so at every point of the mixture it is less
+than two blocks from its share (the largest less than one more for each other
+source), whatever the size; with one frame, less than one block.
 """
 
 from __future__ import annotations
@@ -17,16 +22,16 @@ import math
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..operators.ranks import running_sums
+from ..scratch import Scratch, bounded_broadcast
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Blocks of the whole mixture at most; the block grows with the total beyond that.
-MAX_BLOCKS, LEAST_BLOCK = 20_000, 2_048
-SLICES = 64
+#: Tokens of a block, and slots of a frame at most.
+BLOCK, FRAME = 2_048, 20_000
 # Fixed value: how the vocabulary's pre-tokens are parted.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -101,12 +106,36 @@ def pfair(weights: dict[str, float], slots: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def schedule(spark: SparkSession, blocks: dict[str, int], frame: int = FRAME) -> DataFrame:
+    """(source, block, slot) of all blocks of the mixture, one row each: frames are scheduled in parallel."""
+    total = sum(blocks.values())
+    n = max(1, -(-total // frame))
+    names = sorted(blocks, key=lambda s: (-blocks[s], s))
+
+    def had(f: int) -> dict[str, int]:
+        c = {s: blocks[s] * f // n for s in names[1:]}
+        return {names[0]: total * f // n - sum(c.values())} | c
+
+    def run(batches):
+        for b in batches:
+            for f in b["id"].tolist():
+                first, last = had(f), had(f + 1)
+                take = {s: last[s] - first[s] for s in names if last[s] > first[s]}
+                slots = sum(take.values())
+                plan = pfair({s: k / slots for s, k in take.items()}, slots)
+                yield pd.DataFrame({"source": [s for s, _, _ in plan], "block": [first[s] + k for s, k, _ in plan], "slot": [total * f // n + t for _, _, t in plan]})
+
+    frames = spark.range(n if total else 0)
+    return frames.mapInPandas(run, "source string, block long, slot long")
+
+
 class Mixture:
     """The mixture of ``docs`` (doc_id, text, source) for ``targets`` (source, target_share, max_repeats: one row a source)."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, scratch: Scratch | None = None, total: float | None = None, path: str = f"{TOKENIZER_DIR}/{VOCABULARY}"):
+    def __init__(self, docs: DataFrame, targets: DataFrame, scratch: Scratch | None = None, total: float | None = None, path: str = f"{TOKENIZER_DIR}/{VOCABULARY}", block: int = BLOCK, frame: int = FRAME):
         spark = docs.sparkSession
         sc = self.sc = scratch or Scratch(spark)
+        self.block, self.frame = block, frame
         rows = targets.filter(F.col("source").isNotNull() & F.col("target_share").isNotNull()).collect()  # one row a source
         self.share = {r["source"].strip().lower(): float(r["target_share"]) for r in rows}
         self.repeats = {r["source"].strip().lower(): int(r["max_repeats"] or 1) for r in rows}
@@ -115,32 +144,29 @@ class Mixture:
         self.sizes = self.sizes.filter("n_tokens > 0")
         self.have = {r["source"]: int(r["n"]) for r in self.sizes.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
         self.gives = contributions(self.have, self.share, self.repeats, total)
-        whole = sum(self.gives.values())
-        self.block = max(LEAST_BLOCK, math.ceil(whole / MAX_BLOCKS)) if whole else LEAST_BLOCK
-        self.weights = {s: g / whole for s, g in self.gives.items()} if whole else {}
 
     def rows(self) -> DataFrame:
         """(slot, source, doc_id, copy, n_tokens): every use of a document; the mixture is these rows by slot, then copy and doc_id.
 
         A document's place in its source is a running total over hashed order,
-        taken in ``SLICES`` slices first. Copies are whole passes over the
-        source, the last of them cut off where the source has given its tokens.
+        over range partitions. Copies are whole passes over the source, the last
+        of them cut off where the source has given its tokens.
         """
         spark = self.sc.spark
-        d = self.sizes.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
-        w = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        base = d.groupBy("source", "slice").agg(F.sum("n_tokens").alias("of")).select("source", "slice", F.coalesce(F.sum("of").over(w), F.lit(0)).alias("base"))
-        inner = Window.partitionBy("source", "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        d = d.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(F.broadcast(base), ["source", "slice"])
-        facts = spark.createDataFrame([(s, float(g), self.have[s], self.repeats[s]) for s, g in self.gives.items()], "source string, gives double, have long, cap int")
-        d = d.join(F.broadcast(facts), "source").withColumn("at", F.col("base") + F.col("inner"))
+        d = self.sizes.filter(F.col("source").isin(list(self.gives))).withColumn("h", F.xxhash64(F.lit("mix"), "doc_id"))
+        d = running_sums(d, F.struct("source", "h", "doc_id"), {"upto": "n_tokens"})
+        base, facts = 0, []
+        for s in sorted(self.gives):  # sources in the order of the running totals
+            facts.append((s, float(self.gives[s]), self.have[s], self.repeats[s], base))
+            base += self.have[s]
+        facts = spark.createDataFrame(facts, "source string, gives double, have long, cap int, base long")
+        d = d.join(F.broadcast(facts), "source").withColumn("at", F.col("upto") - F.col("n_tokens") - F.col("base"))
         d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("cap") - 1)))
         # half of the document at least must lie within what the source gives
         d = d.withColumn("at", F.col("at") + F.col("copy") * F.col("have")).filter(F.col("at") + F.col("n_tokens") / 2 <= F.col("gives"))
         d = d.withColumn("block", F.floor(F.col("at") / self.block).cast("long"))
-        slots = math.ceil(sum(self.gives.values()) / self.block) + 2 * len(self.gives)
-        plan = spark.createDataFrame(pfair(self.weights, slots) if self.weights else [], "source string, block long, slot long")
-        return d.join(F.broadcast(plan), ["source", "block"], "left").select(F.coalesce("slot", F.lit(slots)).alias("slot"), "source", "doc_id", "copy", "n_tokens")
+        plan = schedule(spark, {s: math.ceil(g / self.block) for s, g in self.gives.items()}, self.frame)
+        return d.join(bounded_broadcast(plan), ["source", "block"]).select("slot", "source", "doc_id", "copy", "n_tokens")
 
     def report(self) -> DataFrame:
         """Per target source: target share, tokens it has, cap, passes used, tokens given and the share reached."""

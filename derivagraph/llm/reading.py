@@ -18,6 +18,8 @@ LONGEST_SENTENCE = 40
 LEVELS = ("basic", "middle", "advanced")
 #: Borders between the levels for a script of which no document is labelled: grades of general readers.
 DEFAULT_BORDERS = (9.0, 15.0)
+#: Ratings that borders are fitted on, about; of more a sample by hash of the document is taken.
+MAX_RATINGS = 200_000
 
 # Vowel letters that carry a syllable each, and vowel letters that carry one in a run.
 _VOWELS_EACH = "աեէըիոօևаеёиоуыэюяі"
@@ -87,8 +89,12 @@ def borders(grades: DataFrame, labels: DataFrame) -> DataFrame:
     script, grade; ``labels`` doc_id, reading_level (every rating counts, ratings
     of unknown documents do not). Medians and quartiles hold out against raters
     that err. A script without labels on both sides of a border takes
-    ``DEFAULT_BORDERS``.
+    ``DEFAULT_BORDERS``. Beyond ``MAX_RATINGS`` ratings the fit takes those of
+    documents whose hash lies below a bar, so its state stays bounded.
     """
+    n = labels.count()
+    if n > MAX_RATINGS:
+        labels = labels.filter(F.pmod(F.xxhash64(F.lit("rating"), "doc_id"), F.lit(1 << 32)) < int((1 << 32) * MAX_RATINGS / n))
     x = labels.join(grades, "doc_id").filter(F.col("grade").isNotNull() & F.col("reading_level").isin(*LEVELS))
     q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     m = x.groupBy("script").agg(*[F.percentile(F.when(F.col("reading_level") == v, F.col("grade")), q).alias(v) for v in LEVELS])

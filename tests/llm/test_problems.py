@@ -316,7 +316,7 @@ def test_one_giant_family_goes_whole(spark):
     assert abs(a["train"] / 9000 - 0.8) < 0.01
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     voc = [f"բառ{c}" for c in "աբգդեզէըթժիլխ"] + ["և", "է", "Read", "42"]
     items = [(i, " ".join(rng.choices(voc, k=rng.randint(8, 40)))) for i in range(30)]
@@ -340,6 +340,19 @@ def test_leaks_equal_brute_force(spark):
         want |= {(i, j) for j, g in grams.items() if g & own}
     assert want and got == want
     assert leakage.leaked_items(d.limit(0), it).count() == leakage.leaked_items(d, it.limit(0)).count() == 0
+    monkeypatch.setattr(leakage, "MAX_WORDS", 200)  # several indexes
+    monkeypatch.setattr(leakage, "TOGETHER", 3)
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(d, it).collect()} == want
+
+
+def test_many_items_make_one_sparse_index():
+    rng = random.Random(4)
+    voc = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(voc, k=40))) for i in range(20_000)]
+    ix = leakage.ItemIndex(items)
+    assert ix.impact.nbytes + ix.keys.nbytes + ix.grams.nbytes + ix.gram_at.nbytes + ix.tok.nbytes < 60 * len(ix.tok)
+    text = [*rng.choices(voc, k=500), *items[77][1].split()[3:16], *rng.choices(voc, k=30), *items[5000][1].split()[:11], *rng.choices(voc, k=40_000)]
+    assert ix.leaks(np.array([ix.terms.get(w, -1) for w in text], np.int32)) == {77: 13}
 
 
 def test_pfair_stays_within_a_block():
@@ -351,6 +364,18 @@ def test_pfair_stays_within_a_block():
         assert all(abs(done[x] - w[x] * t) < 1 for x in w)
 
 
+def test_frames_keep_shares(spark):
+    n = {"a": 500, "b": 300, "c": 130, "d": 70, "e": 3}
+    rows = sorted((r["slot"], r["source"], r["block"]) for r in mixture.schedule(spark, n, 100).collect())
+    assert [r[0] for r in rows] == list(range(1003)) and {(s, k) for _, s, k in rows} == {(s, k) for s, m in n.items() for k in range(m)}
+    done = dict.fromkeys(n, 0)
+    for t, (_, s, k) in enumerate(rows, 1):
+        assert k == done[s]
+        done[s] += 1
+        assert all(abs(done[x] - m * t / 1003) < (2 if x != "a" else 1 + len(n)) for x, m in n.items())
+    assert mixture.schedule(spark, {}).count() == 0
+
+
 def test_contributions_respect_caps():
     g = mixture.contributions({"a": 100, "b": 10, "c": 50}, {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.1}, {"a": 2, "b": 2, "c": 1, "d": 1})
     assert g["b"] == 20 and "d" not in g
