@@ -45,18 +45,20 @@ def crawl_round(words: DataFrame, pages: DataFrame, lex: Lexicon) -> tuple[DataF
     return both.select(*EDGE), nxt.filter(~is_proper_or_invalid("word") & ~is_affix("word"))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, lexicon: DataFrame, scratch: Scratch, max_rounds: int = 50, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rounds until no new word appears: (edges, visited words). ``done`` words of an earlier run are not visited again."""
+def crawl(pages: DataFrame, seeds: DataFrame, lexicon: DataFrame, scratch: Scratch, max_rounds: int | None = None, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rounds until no new word appears: (edges, visited words). ``done`` words of an earlier run are not visited again; words left after ``max_rounds`` are an error."""
     lex = Lexicon(scratch.cut(lexicon.select("word", "pos")))
-    lex.known, lex.known_compound = scratch.cut(lex.known), scratch.cut(lex.known_compound)
+    lex.written(scratch)
     pages = scratch.cut(pages.select("word", "page"))
     todo = seeds.select("word").distinct().filter(~is_proper_or_invalid("word"))
     seen = scratch.cut(done.select("word").distinct() if done is not None else todo.limit(0), "seen")
     todo = scratch.cut(todo.join(seen, "word", "left_anti"), "todo")
     edges = None
-    for _ in range(max_rounds):
-        if todo.limit(1).count() == 0:
-            break
+    r = 0
+    while todo.limit(1).count():
+        if r == max_rounds:
+            raise RuntimeError(f"words are still queued after {r} rounds")
+        r += 1
         e, nxt = crawl_round(todo, pages, lex)
         e = scratch.cut(e)
         edges = e if edges is None else edges.unionByName(e)

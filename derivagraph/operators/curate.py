@@ -88,6 +88,12 @@ def relabel(edges: DataFrame) -> DataFrame:
     return e.withColumn("relation_class", F.coalesce("_class", F.lit("other"))).select(*edges.columns)
 
 
+def unknown_labels(edges: DataFrame) -> DataFrame:
+    """(relation, n): labels that have no class after renaming, and how often each occurs."""
+    cls = F.broadcast(edges.sparkSession.createDataFrame(rules.canonical_classes(), "relation string, _class string"))
+    return relabel(edges).join(cls, "relation", "left_anti").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fill_class(edges: DataFrame) -> DataFrame:
     """Empty classes from the builder's table, else 'other'."""
     t = F.broadcast(edges.sparkSession.createDataFrame(rules.BUILDER_CLASS, "relation string, _class string"))

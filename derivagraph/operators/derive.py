@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..scratch import Scratch
 
 EDGE = ["source", "source_pos", "relation", "relation_class", "target", "target_pos"]
 MIN_ROOT = 2
@@ -30,7 +31,7 @@ class Lexicon:
     """Words with their part of speech, and what counts as known."""
 
     def __init__(self, words: DataFrame):
-        self.spark = words.sparkSession
+        self.spark, self.cut = words.sparkSession, False
         self.words = words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.coalesce(F.min(F.when(F.col("pos") != "unknown", F.col("pos"))), F.lit("unknown")).alias("pos"))
         roots = self.spark.createDataFrame([(w,) for w in rules.ROOTS], "word string")
         both = self.words.unionByName(roots.join(self.words, "word", "left_anti").withColumn("pos", F.lit("unknown")))
@@ -38,6 +39,13 @@ class Lexicon:
         self.known = both.filter((F.length("word") >= MIN_ROOT) & ~F.col("word").isin(out))
         self.known_compound = self.known.filter((F.col("pos") != "unknown") | F.col("word").isin(rules.ROOTS))
 
+    def written(self, sc: Scratch) -> Lexicon:
+        """The same with its tables written once, for plans that meet them many times."""
+        if not self.cut:
+            self.words, self.known, self.known_compound = sc.cut(self.words), sc.cut(self.known), sc.cut(self.known_compound)
+            self.cut = True
+        return self
+
     def hits(self, cands: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Candidates (column ``base``) that are known, with their part of speech as ``base_pos``."""
         k = (self.known if known is None else known).select(F.col("word").alias("base"), F.col("pos").alias("base_pos"))
@@ -207,11 +215,14 @@ def unique_edges(edges: DataFrame) -> DataFrame:
 
 def analyze(words: DataFrame, lex: Lexicon) -> DataFrame:
     """All edges of all words: every rule, and compounds for words that no suffix rule has explained. Borrowings give none."""
-    w = words.filter(F.col("word").isNotNull() & ~F.col("word").isin(rules.BORROWINGS.split())).select("word", F.coalesce("pos", F.lit("unknown")).alias("pos")).distinct()
+    sc = Scratch(words.sparkSession)
+    lex = lex.written(sc)
+    w = sc.cut(words.filter(F.col("word").isNotNull() & ~F.col("word").isin(rules.BORROWINGS.split())).select("word", F.coalesce("pos", F.lit("unknown")).alias("pos")).distinct())
     simple = None
     for r in RULES:
         e = r(w, lex)
         simple = e if simple is None else simple.unionByName(e)
+    simple = sc.cut(simple)
     blocks = F.col("relation").endswith("_suffixation") | F.col("relation").isin("nominalization", "causative", "detransitive")
     left = w.join(simple.filter(blocks).select(F.col("target").alias("word")).distinct(), "word", "left_anti")
     return unique_edges(simple.unionByName(compound(left, lex)))

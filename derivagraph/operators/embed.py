@@ -77,8 +77,8 @@ def kmeans(vectors: DataFrame, k: int, starts: int = 20, seed: int = 42) -> Data
         m = KMeans(k=k, seed=seed + i, maxIter=20).fit(x)
         if best is None or m.summary.trainingCost < best[0]:
             best = (m.summary.trainingCost, m)
-    out = best[1].transform(x).select("word", F.col("prediction").alias("cluster"))
-    return out
+    x.unpersist()
+    return best[1].transform(vectors.select("word", array_to_vector("vec").alias("features"))).select("word", F.col("prediction").alias("cluster"))
 
 
 def tsne(vectors: DataFrame, most: int = 2000, perplexity: float = 30.0, steps: int = 250, seed: int = 42) -> DataFrame:

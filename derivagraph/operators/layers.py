@@ -47,7 +47,7 @@ def project(nodes: DataFrame, w: Sequence[Sequence[float]], b: Sequence[float] |
             y = np.stack(x["vec"].to_numpy()) @ m.T + c if len(x) else np.zeros((0, len(m)))
             yield pd.DataFrame({"word": x["word"], "vec": list(y)})
 
-    return nodes.select("word", "vec").mapInPandas(run, "word string, vec array<double>")
+    return nodes.select("word", "vec").mapInPandas(run, f"word {dict(nodes.dtypes)['word']}, vec array<double>")
 
 
 def gcn(nodes: DataFrame, edges: DataFrame, dim: int) -> DataFrame:

@@ -232,6 +232,11 @@ def b11_relabel(spark, d):
     return curate.relabel(_edges(spark, d)).select("edge_id", "relation", "relation_class")
 
 
+@query(f"WITH {_E}, {_RENAMES}, {_CLASSES}, x AS (SELECT coalesce(new, relation) AS relation FROM e LEFT JOIN ren ON old = relation) SELECT relation, count(*) AS n FROM x WHERE relation NOT IN (SELECT relation FROM cls) GROUP BY relation")
+def b11_unknown_labels(spark, d):
+    return curate.unknown_labels(_edges(spark, d))
+
+
 @query(f"WITH {_E}, {_BCLASS} SELECT edge_id, trim(source, ' ') AS source, relation, coalesce(class, 'other') AS relation_class, trim(target, ' ') AS target FROM e LEFT JOIN bcls USING (relation)")
 def b12_edge_rows(spark, d):
     e = curate.fill_class(_edges(spark, d).withColumn("relation_class", F.lit("")))
@@ -302,9 +307,9 @@ def c10_common_words(spark, d):
     return _nodes(spark, d).select("word").intersect(_edges(spark, d).select(F.col("source").alias("word"))).intersect(_vectors(spark, d).select("word"))
 
 
-@query(f"WITH {_G} SELECT a.relation, count(*) AS n_pairs FROM g a JOIN g b ON a.relation = b.relation AND a.edge_id <> b.edge_id WHERE a.relation IN ('reduplication', 'temporal_prefix') GROUP BY a.relation")
+@query(f"WITH {_G} SELECT a.relation, count(*) AS n_pairs FROM g a JOIN g b ON a.relation = b.relation AND a.edge_id <> b.edge_id GROUP BY a.relation")
 def c12_relation_pairs(spark, d):
-    g = _graph(spark, d).filter(F.col("relation").isin("reduplication", "temporal_prefix")).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    g = _graph(spark, d).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
     return g.filter("n > 1").select("relation", (F.col("n") * (F.col("n") - 1)).alias("n_pairs"))  # counted, not emitted
 
 
@@ -562,14 +567,14 @@ def g13_trigrams(spark, d):
     return _nodes(spark, d).select("word").distinct().select("word", F.array_join(text.trigrams("word"), ",").alias("grams"))
 
 
-@query(f"""WITH {_TRI}, top AS (SELECT t, row_number() OVER (ORDER BY count(*) DESC, t) AS id FROM tri GROUP BY t QUALIFY id <= 500),
+@query(f"""WITH {_TRI}, top AS (SELECT t, row_number() OVER (ORDER BY count(*) DESC, t) AS id FROM tri GROUP BY t QUALIFY id <= 6000),
   x AS (SELECT word, i, substr('#' || word || '#', i, 3) AS t FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM (SELECT DISTINCT word FROM nodes WHERE word <> '')))
   SELECT word, array_to_string(list(coalesce(id, 0) ORDER BY i), ',') AS ids FROM x LEFT JOIN top USING (t) GROUP BY word""")
 def g14_trigram_ids(spark, d):
     from ..operators.features import trigram_ids, trigram_vocabulary
 
     w = _nodes(spark, d).select("word").distinct()
-    return trigram_ids(w, trigram_vocabulary(w, 500)).select("word", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return trigram_ids(w, trigram_vocabulary(w)).select("word", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(f"WITH {_N}, x AS (SELECT pos AS label FROM n UNION SELECT '<UNK>') SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_id FROM x")
@@ -577,9 +582,9 @@ def g15_label_ids(spark, d):
     return curate.label_ids(_nodes(spark, d), "pos")
 
 
-@query(f"""WITH {_N} SELECT node_id, CASE WHEN definition_hy = '' THEN word ELSE word || ': ' || CASE WHEN length(definition_hy) > 40 THEN regexp_replace(left(definition_hy, 40), '\\s\\S*$', '') || '…' ELSE definition_hy END END AS prompt FROM n""")
+@query(f"""WITH {_N} SELECT node_id, CASE WHEN definition_hy = '' THEN word ELSE word || ': ' || CASE WHEN length(definition_hy) > 120 THEN regexp_replace(left(definition_hy, 120), '\\s\\S*$', '') || '…' ELSE definition_hy END END AS prompt FROM n""")
 def g16_prompt(spark, d):
-    return _nodes(spark, d).select("node_id", text.prompt("word", "definition_hy", 40).alias("prompt"))
+    return _nodes(spark, d).select("node_id", text.prompt("word", "definition_hy").alias("prompt"))
 
 
 @query(f"WITH {_N} SELECT node_id, ('0x' || substr(md5(word), 1, 15))::BIGINT AS h FROM n")
@@ -732,7 +737,7 @@ def h12_crawl(spark, d):
 
     pages = curate.keep_first(_pages(spark, d).filter("title <> ''").select(F.col("title").alias("word"), "page", "doc_id"), ["word"], ["doc_id"]).select("word", "page")
     seeds = pages.select("word")
-    edges, _ = crawl(pages, seeds, _lexicon(spark, d).words, Scratch(spark), max_rounds=2)
+    edges, _ = crawl(pages, seeds, _lexicon(spark, d).words, Scratch(spark))
     return edges.select("source", "relation", "target")
 
 
@@ -893,22 +898,21 @@ for _s in sampling.STRATEGIES:
 
 
 def _uniform_sql(split, taken=""):
-    return f"""SELECT source, target, '{split}' AS split FROM (SELECT a.word AS source, b.word AS target, min(r.id) AS id FROM (SELECT unnest(range(0, 1016)) AS id) r, (SELECT n AS total FROM psize WHERE pos = '*') JOIN pool a ON a.pos = '*' AND a.i = {_draw(42, f"'{split}'", "'s'", 'r.id')} % total
-  JOIN pool b ON b.pos = '*' AND b.i = {_draw(42, f"'{split}'", "'t'", 'r.id')} % total WHERE a.word <> b.word GROUP BY 1, 2) u WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.source = u.source AND g.target = u.target) {taken} ORDER BY id LIMIT 500"""
+    return f"""SELECT source, target, '{split}' AS split FROM (SELECT a.word AS source, b.word AS target, min(r.id) AS id FROM (SELECT unnest(range(0, (SELECT 2 * greatest(1, count(*) // 10) + 16 FROM g))) AS id) r, (SELECT n AS total FROM psize WHERE pos = '*') JOIN pool a ON a.pos = '*' AND a.i = {_draw(42, f"'{split}'", "'s'", 'r.id')} % total
+  JOIN pool b ON b.pos = '*' AND b.i = {_draw(42, f"'{split}'", "'t'", 'r.id')} % total WHERE a.word <> b.word GROUP BY 1, 2) u WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.source = u.source AND g.target = u.target) {taken} ORDER BY id LIMIT (SELECT greatest(1, count(*) // 10) FROM g)"""
 
 
 @query(f"WITH {_G}, {_POOL}, v AS ({_uniform_sql('val')}), t AS ({_uniform_sql('test', 'AND NOT EXISTS (SELECT 1 FROM v WHERE v.source = u.source AND v.target = u.target)')}) SELECT * FROM v UNION ALL SELECT * FROM t")
 def i12_uniform_negatives(spark, d):
     g, n = _graph(spark, d), _nodes(spark, d)
-    v = sampling.uniform_negatives(g, n, 500, "val")
-    return v.unionByName(sampling.uniform_negatives(g, n, 500, "test", taken=v))
+    k = max(1, g.count() // 10)  # as many as there are links in a split
+    v = sampling.uniform_negatives(g, n, k, "val")
+    return v.unionByName(sampling.uniform_negatives(g, n, k, "test", taken=v))
 
 
-@query(f"""WITH {_G}, {_P}, {_POOL}, a AS (SELECT p.source, p.target, coalesce(x.pos, '*') AS pos FROM p LEFT JOIN x ON x.word = p.target), b AS (SELECT a.source, a.target, CASE WHEN s.n <= 1 THEN '*' ELSE a.pos END AS pos FROM a JOIN psize s ON s.pos = a.pos),
-  c AS (SELECT source, target, k, CASE WHEN k < 4 THEN pos ELSE '*' END AS want FROM b, (SELECT unnest(range(0, 8)) AS k)), d AS (SELECT c.*, o.word AS negative FROM c JOIN psize s ON s.pos = want JOIN pool o ON o.pos = want AND o.i = {_draw(42, 'c.source', 'c.target', 'c.k')} % s.n WHERE o.word <> c.target),
-  ok AS (SELECT source, target, arg_min(negative, k) AS negative FROM d WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.source = d.source AND p.target = d.negative) GROUP BY source, target) SELECT p.source, p.target, negative, negative IS NOT NULL AS valid FROM p LEFT JOIN ok USING (source, target)""")
+@query()
 def i13_hard_negatives(spark, d):
-    return sampling.hard_negatives(_graph(spark, d), _nodes(spark, d), tries=4)
+    return sampling.hard_negatives(_graph(spark, d), _nodes(spark, d))
 
 
 # ---- J: layers, one hop over the vectors -----------------------------------------------------------------------------
@@ -922,24 +926,24 @@ def _jg(spark, d):
     return v, e.select(F.col("source").alias("src"), F.col("target").alias("dst"))
 
 
-def _first4(df):
-    return df.select("word", *[F.round(F.get("vec", F.lit(i)), 5).alias(f"x{i}") for i in range(4)])
+def _coordinates(df):
+    return df.select("word", *[F.round(F.get("vec", F.lit(i)), 5).alias(f"x{i}") for i in range(64)])
 
 
-_F4 = ", ".join(f"round({{}}[{i + 1}], 5) AS x{i}" for i in range(4))
+_F4 = ", ".join(f"round({{}}[{i + 1}], 5) AS x{i}" for i in range(64))
 
 
 @query(f"""WITH {_JE}, ls AS (SELECT * FROM je UNION ALL SELECT word, word FROM v), dg AS (SELECT dst AS word, count(*) AS d FROM ls GROUP BY 1)
-  SELECT ls.dst AS word, {', '.join(f'round(sum(v.vec[{i + 1}] / sqrt(a.d)) / sqrt(any_value(b.d)), 5) AS x{i}' for i in range(4))} FROM ls JOIN v ON v.word = ls.src JOIN dg a ON a.word = ls.src JOIN dg b ON b.word = ls.dst GROUP BY ls.dst""")
+  SELECT ls.dst AS word, {', '.join(f'round(sum(v.vec[{i + 1}] / sqrt(a.d)) / sqrt(any_value(b.d)), 5) AS x{i}' for i in range(64))} FROM ls JOIN v ON v.word = ls.src JOIN dg a ON a.word = ls.src JOIN dg b ON b.word = ls.dst GROUP BY ls.dst""")
 def j3_gcn(spark, d):
     v, e = _jg(spark, d)
-    return _first4(layers.gcn(v, e, 64))
+    return _coordinates(layers.gcn(v, e, 64))
 
 
-@query(f"WITH {_JE} SELECT v.word, {', '.join(f'round(coalesce(avg(s.vec[{i + 1}]), 0), 5) AS x{i}' for i in range(4))} FROM v LEFT JOIN je ON je.dst = v.word LEFT JOIN v s ON s.word = je.src GROUP BY v.word")
+@query(f"WITH {_JE} SELECT v.word, {', '.join(f'round(coalesce(avg(s.vec[{i + 1}]), 0), 5) AS x{i}' for i in range(64))} FROM v LEFT JOIN je ON je.dst = v.word LEFT JOIN v s ON s.word = je.src GROUP BY v.word")
 def j4_sage_mean(spark, d):
     v, e = _jg(spark, d)
-    return _first4(layers.sage_mean(v, e, 64))
+    return _coordinates(layers.sage_mean(v, e, 64))
 
 
 @query(f"""WITH {_JE}, at0 AS (SELECT je.src, je.dst, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.vec[i] + b.vec[i] > 0 THEN a.vec[i] + b.vec[i] ELSE 0.2 * (a.vec[i] + b.vec[i]) END)) AS s FROM je JOIN v a ON a.word = je.src JOIN v b ON b.word = je.dst)
@@ -949,17 +953,17 @@ def j5_attention(spark, d):
     return layers.attention(v, e, [1.0] * 64, 64).select("src", "dst", F.round("alpha", 5).alias("alpha"))
 
 
-@query(f"""WITH {_G}, {_V} SELECT g.target AS word, length(g.relation) AS etype, {', '.join(f'round(avg(v.vec[{i + 1}]), 5) AS x{i}' for i in range(4))} FROM g JOIN v ON v.word = g.source GROUP BY 1, 2""")
+@query(f"""WITH {_G}, {_V} SELECT g.target AS word, length(g.relation) AS etype, {', '.join(f'round(avg(v.vec[{i + 1}]), 5) AS x{i}' for i in range(64))} FROM g JOIN v ON v.word = g.source GROUP BY 1, 2""")
 def j6_rgcn_mean(spark, d):
     v = _vectors(spark, d)
     e = _graph(spark, d).select(F.col("source").alias("src"), F.col("target").alias("dst"), F.length("relation").alias("etype"))
     r = layers.rgcn_mean(v, e, 64)
-    return r.select("word", "etype", *[F.round(F.get("vec", F.lit(i)), 5).alias(f"x{i}") for i in range(4)])
+    return r.select("word", "etype", *[F.round(F.get("vec", F.lit(i)), 5).alias(f"x{i}") for i in range(64)])
 
 
-@query(f"WITH {_V} SELECT word, {', '.join(f'round(vec[{i + 1}] / sqrt(list_inner_product(vec, vec)), 5) AS x{i}' for i in range(4))} FROM v")
+@query(f"WITH {_V} SELECT word, {', '.join(f'round(vec[{i + 1}] / sqrt(list_inner_product(vec, vec)), 5) AS x{i}' for i in range(64))} FROM v")
 def j7_l2_normalize(spark, d):
-    return _first4(_vectors(spark, d).withColumn("vec", layers.l2_normalize(F.col("vec"))))
+    return _coordinates(_vectors(spark, d).withColumn("vec", layers.l2_normalize(F.col("vec"))))
 
 
 @query(f"WITH {_JE} SELECT src AS source, dst AS target, round(list_inner_product(a.vec, b.vec), 5) AS score FROM je JOIN v a ON a.word = src JOIN v b ON b.word = dst")
@@ -979,13 +983,14 @@ def j9_bpr_loss(spark, d):
 
 
 @query(f"""WITH {_JE}, m AS (SELECT v.word, v.vec AS x, list_transform(range(1, 65), lambda i: coalesce(s.m[i], 0)) AS y FROM v LEFT JOIN (SELECT dst AS word, [{', '.join(f'avg(a.vec[{i + 1}])' for i in range(64))}] AS m FROM je JOIN v a ON a.word = src GROUP BY dst) s USING (word))
-  SELECT word, round(0.25 * x[1] + 0.75 * y[1], 5) AS gate, round(x[1], 5) AS concat, round(0.3 * x[1] + 0.7 * y[1], 5) AS weighted, round(x[1] + y[1], 5) AS sum, round(x[1], 5) AS gnn_only, round(y[1], 5) AS aux_only FROM m""")
+  SELECT word, {', '.join(f"round(list_sum(list_transform(range(1, {n + 1}), lambda i: i * ({e}))), 4) AS {k}" for k, n, e in (('gate', 64, '0.25 * x[i] + 0.75 * y[i]'), ('concat', 128, 'CASE WHEN i <= 64 THEN x[i] ELSE y[i - 64] END'), ('weighted', 64, '0.3 * x[i] + 0.7 * y[i]'), ('sum', 64, 'x[i] + y[i]'), ('gnn_only', 64, 'x[i]'), ('aux_only', 64, 'y[i]')))} FROM m""")
 def j12_ensemble_modes(spark, d):
     v, e = _jg(spark, d)
     m = v.select("word", F.col("vec").alias("x")).join(layers.sage_mean(v, e, 64).select("word", F.col("vec").alias("y")), "word")
     gate = F.array_repeat(F.lit(0.25), 64)
+    weighted = lambda v: F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     modes = {"gate": gate, "concat": 0.5, "weighted": 0.3, "sum": 0.5, "gnn_only": 0.5, "aux_only": 0.5}
-    return m.select("word", *[F.round(layers.ensemble(F.col("x"), F.col("y"), k, g)[0], 5).alias(k) for k, g in modes.items()])
+    return m.select("word", *[F.round(weighted(layers.ensemble(F.col("x"), F.col("y"), k, g)), 4).alias(k) for k, g in modes.items()])
 
 
 @query(f"WITH {_LONG}, z AS (SELECT model, round(avg(value), 6) AS m FROM lm WHERE metric = 'ari' AND NOT isnan(value) GROUP BY model) SELECT arg_max(model, (m, model = 'gcn')) AS model FROM z WHERE model IN ('ensemble', 'gcn')")
@@ -1017,14 +1022,24 @@ def k4_scores_at_threshold(spark, d):
     return metrics.scores_at(_scored(spark, d), 2000.0)
 
 
-@query(None)
+@query(f"""WITH {_G}, {_V}, h AS (SELECT *, {_draw(42, 'source', 'relation', 'target')} AS hh FROM g), t0 AS (SELECT DISTINCT source, target FROM h QUALIFY row_number() OVER (ORDER BY hh) <= greatest(1, floor(0.1::DOUBLE * count(*) OVER ()))),
+  t AS (SELECT source, target, a.vec AS vs, round(list_inner_product(a.vec, b.vec), 6) AS truth FROM t0 JOIN v a ON a.word = source JOIN v b ON b.word = target),
+  ids AS (SELECT word, vec, row_number() OVER (ORDER BY word) - 1 AS i FROM v), kn AS (SELECT DISTINCT source, target AS word FROM g),
+  dr AS (SELECT t.source, t.target, ids.word, min(k) AS k FROM t, (SELECT unnest(range(0, 2392)) AS k) r JOIN ids ON ids.i = {_draw(42, 't.source', 't.target', 'r.k')} % (SELECT count(*) FROM v)
+    WHERE ids.word <> t.target AND NOT EXISTS (SELECT 1 FROM kn WHERE kn.source = t.source AND kn.word = ids.word) GROUP BY ALL),
+  c AS (SELECT * FROM dr QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY k, word) <= 299),
+  rk AS (SELECT t.source, t.target, 1 + coalesce(sum((round(list_inner_product(t.vs, v.vec), 6) > t.truth)::INT), 0) AS rank FROM t LEFT JOIN c USING (source, target) LEFT JOIN v ON v.word = c.word GROUP BY t.source, t.target)
+  SELECT round(avg(1 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS hits1, round(avg((rank <= 5)::INT), 6) AS hits5, round(avg((rank <= 10)::INT), 6) AS hits10 FROM rk""")
 def k5_filtered_ranking(spark, d):
     v = _vectors(spark, d)
     e = sampling.global_split(_graph(spark, d))
-    return search.ranking_metrics(search.filtered_ranks(e.filter("split = 'test'"), e, v, 99))
+    return search.ranking_metrics(search.filtered_ranks(e.filter("split = 'test'"), e, v))
 
 
-@query(None)
+@query(f"""WITH {_V}, {_N}, x AS (SELECT v.word, v.vec, p.pos FROM v JOIN (SELECT word, min(pos) AS pos FROM n WHERE pos <> '' GROUP BY word) p USING (word)), m AS (SELECT pos, count(*) AS n FROM x GROUP BY pos),
+  s AS (SELECT a.word, a.pos AS own, b.pos, sum(1 - list_cosine_similarity(a.vec, b.vec)) AS far FROM x a JOIN x b ON true GROUP BY ALL),
+  z AS (SELECT word, max(CASE WHEN s.pos = own AND m.n > 1 THEN far / (m.n - 1) END) AS a, min(CASE WHEN s.pos <> own THEN far / m.n END) AS b FROM s JOIN m ON m.pos = s.pos GROUP BY word)
+  SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM z""")
 def k6_silhouette(spark, d):
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
@@ -1036,14 +1051,14 @@ def k6_silhouette(spark, d):
     return spark.createDataFrame([(round(s, 6),)], "silhouette double")
 
 
-@query(f"""WITH {_G}, {_V}, pr AS (SELECT relation, source, target, a.vec AS vs, b.vec AS vt, row_number() OVER (PARTITION BY relation ORDER BY source, target) AS i FROM (SELECT DISTINCT relation, source, target FROM g) JOIN v a ON a.word = source JOIN v b ON b.word = target QUALIFY i <= 6),
+@query(f"""WITH {_G}, {_V}, pr AS (SELECT relation, source, target, a.vec AS vs, b.vec AS vt, row_number() OVER (PARTITION BY relation ORDER BY source, target) AS i FROM (SELECT DISTINCT relation, source, target FROM g) JOIN v a ON a.word = source JOIN v b ON b.word = target QUALIFY i <= 24),
   p4 AS (SELECT *, count(*) OVER (PARTITION BY relation) AS c FROM pr QUALIFY c >= 4),
-  q AS (SELECT x.relation, x.i, y.i AS j, x.source AS s, x.target AS t, y.source AS base, list_transform(range(1, 65), lambda k: x.vt[k] - x.vs[k] + y.vs[k]) AS vec FROM p4 x JOIN p4 y ON x.relation = y.relation AND x.i <> y.i),
+  q AS (SELECT x.relation, x.i, y.i AS j, x.source AS s, x.target AS t, y.source AS base, list_transform(range(1, 65), lambda k: x.vt[k] - x.vs[k] + y.vs[k]) AS vec FROM p4 x JOIN p4 y ON x.relation = y.relation AND x.i <> y.i QUALIFY row_number() OVER (PARTITION BY x.relation ORDER BY x.i, y.i) <= 500),
   sm AS (SELECT q.relation, q.i, q.j, q.base, v.word, row_number() OVER (PARTITION BY q.relation, q.i, q.j ORDER BY round(list_cosine_similarity(q.vec, v.vec), 6) DESC, v.word) AS rank FROM q JOIN v ON v.word NOT IN (q.s, q.t, q.base) WHERE list_inner_product(q.vec, q.vec) > 0 QUALIFY rank <= 10),
   ft AS (SELECT relation, i, j, min(CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.relation = sm.relation AND g.source = sm.base AND g.target = sm.word) THEN rank END) AS f FROM sm GROUP BY ALL)
   SELECT relation, count(*) AS n_queries, round(avg((coalesce(f, 99) <= 1)::INT), 6) AS acc_1, round(avg((coalesce(f, 99) <= 5)::INT), 6) AS acc_5, round(avg((coalesce(f, 99) <= 10)::INT), 6) AS acc_10 FROM ft GROUP BY relation""")
 def k9_analogy(spark, d):
-    return search.analogy_accuracy(_graph(spark, d), _vectors(spark, d), pairs=6)
+    return search.analogy_accuracy(_graph(spark, d), _vectors(spark, d))
 
 
 _KEYS = ["model", "mode"]
@@ -1051,14 +1066,14 @@ _KEYS = ["model", "mode"]
 
 @query(None)
 def k10_bca_intervals(spark, d):
-    return metrics.bca_intervals(_seeds(spark, d), _KEYS, 499)
+    return metrics.bca_intervals(_seeds(spark, d), _KEYS)
 
 
 @query(f"""WITH {_LONG}, v AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY model, mode, metric) AS n FROM lm WHERE NOT isnan(value) WINDOW w AS (PARTITION BY model, mode, metric ORDER BY value)),
-  b AS (SELECT a.model, a.mode, a.metric, r.b, avg(s.value) AS boot FROM v a, (SELECT unnest(range(0, 199)) AS b) r JOIN v s ON s.model = a.model AND s.mode = a.mode AND s.metric = a.metric AND s.i = {_draw(0, 'a.model', 'a.mode', 'a.metric', 'r.b', 'a.i')} % a.n GROUP BY ALL)
+  b AS (SELECT a.model, a.mode, a.metric, r.b, avg(s.value) AS boot FROM v a, (SELECT unnest(range(0, 9999)) AS b) r JOIN v s ON s.model = a.model AND s.mode = a.mode AND s.metric = a.metric AND s.i = {_draw(0, 'a.model', 'a.mode', 'a.metric', 'r.b', 'a.i')} % a.n GROUP BY ALL)
   SELECT model, mode, metric, round(quantile_cont(boot, 0.025), 6) AS ci_low, round(quantile_cont(boot, 0.975), 6) AS ci_high FROM b GROUP BY ALL""")
 def k10_percentile_intervals(spark, d):
-    return metrics.percentile_intervals(_seeds(spark, d), _KEYS, 199)
+    return metrics.percentile_intervals(_seeds(spark, d), _KEYS)
 
 
 _T = _values([(n, str(round(metrics.t_quantile(0.975, n - 1), 12))) for n in range(2, 60)], "n_seeds, t").replace("t(n_seeds, t)", "tq(n_seeds, tv)")
@@ -1070,6 +1085,17 @@ def k11_t_intervals(spark, d):
     return metrics.t_intervals(_seeds(spark, d), _KEYS)
 
 
+@query(f"""WITH {_LONG}, z AS (SELECT model, mode, metric, count(*) FILTER (WHERE NOT isnan(value)) AS n_seeds, avg(value) FILTER (WHERE NOT isnan(value)) AS m, stddev_samp(value) FILTER (WHERE NOT isnan(value)) AS s FROM lm GROUP BY ALL)
+  SELECT model, mode, metric, z.n_seeds, round(coalesce(m, 'nan'), 6) AS mean, round(coalesce(m - coalesce(tv::DOUBLE * s / sqrt(z.n_seeds), 0), 'nan'), 6) AS ci_low, round(coalesce(m + coalesce(tv::DOUBLE * s / sqrt(z.n_seeds), 0), 'nan'), 6) AS ci_high, 0.95::DOUBLE AS ci_level, 't' AS method FROM z LEFT JOIN {_T} ON tq.n_seeds = z.n_seeds""")
+def k12_intervals(spark, d):
+    return metrics.intervals(_seeds(spark, d), _KEYS, "t")
+
+
+@query()
+def k12_intervals_bca(spark, d):
+    return metrics.intervals(_seeds(spark, d), _KEYS)
+
+
 @query(f"WITH {_LONG}, z AS (SELECT CASE WHEN mode = '' THEN 'baseline/' || model ELSE model END AS model, metric, value FROM lm WHERE NOT isnan(value)) SELECT model, metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, count(*) AS n_seeds FROM z GROUP BY ALL")
 def k13_seed_summary(spark, d):
     s = _seeds(spark, d).withColumn("model", F.when(F.col("mode") == "", F.concat(F.lit("baseline/"), "model")).otherwise(F.col("model")))
@@ -1087,72 +1113,158 @@ def k15_summary_pivot(spark, d):
     return metrics.pivot_summary(metrics.summary(_seeds(spark, d), ["model"]), ["ari", "nmi", "silhouette"])
 
 
-@query(f"WITH {_JE}, z AS (SELECT src AS source, dst AS target, round(list_cosine_similarity(a.vec, b.vec), 6) AS score FROM je JOIN v a ON a.word = src JOIN v b ON b.word = dst) SELECT * FROM (SELECT source, target, score, 'missed' AS kind FROM z ORDER BY score, source, target LIMIT 20)")
-def l3_worst_positives(spark, d):
+_PAIRS_SCORED = "round(list_cosine_similarity(a.vec, b.vec), 6) AS score"
+
+
+@query(f"""WITH {_JE}, z AS (SELECT src AS source, dst AS target, {_PAIRS_SCORED} FROM je JOIN v a ON a.word = src JOIN v b ON b.word = dst),
+  neg AS (SELECT DISTINCT source, target FROM negative_samples x WHERE label = 0 AND NOT EXISTS (SELECT 1 FROM p WHERE p.source = x.source AND p.target = x.target)),
+  y AS (SELECT source, target, {_PAIRS_SCORED} FROM neg JOIN v a ON a.word = source JOIN v b ON b.word = target)
+  SELECT * FROM (SELECT source, target, score, 'missed' AS kind FROM z ORDER BY score, source, target LIMIT 20) UNION ALL SELECT * FROM (SELECT source, target, score, 'false alarm' AS kind FROM y ORDER BY score DESC, source, target LIMIT 20)""")
+def l3_worst_pairs(spark, d):
+    """The links scored lowest and the negatives scored highest."""
     v, e = _jg(spark, d)
     v = v.withColumn("vec", layers.l2_normalize(F.col("vec")))
-    s = layers.bilinear_scores(e.select(F.col("src").alias("source"), F.col("dst").alias("target")), v).withColumn("score", F.round("score", 6))
-    return s.orderBy("score", "source", "target").limit(20).withColumn("kind", F.lit("missed"))
-
+    neg = _t(spark, d, "negative_samples").filter("label = 0").select("source", "target").distinct().join(_graph(spark, d).select("source", "target"), ["source", "target"], "left_anti")
+    links = layers.bilinear_scores(e.select(F.col("src").alias("source"), F.col("dst").alias("target")), v).withColumn("score", F.round("score", 6))
+    others = layers.bilinear_scores(neg, v).withColumn("score", F.round("score", 6))
+    low = links.orderBy("score", "source", "target").limit(20).withColumn("kind", F.lit("missed"))
+    return low.unionByName(others.orderBy(F.desc("score"), "source", "target").limit(20).withColumn("kind", F.lit("false alarm")))
 
 
 # ---- J: learning; results without an oracle in SQL ---------------------------------------------------------------------
+def _model_input(spark, d, sc):
+    """((id, word, cat, tri, label), (src, dst, etype) with reverses, labels of each categorical, relation types, parts of speech)."""
+    from ..operators.features import CATEGORICAL, categorical_ids, trigram_ids, trigram_vocabulary
+
+    nodes, edges = curate.curated_graph(_nodes(spark, d), _edges(spark, d).select("edge_id", *derive.EDGE))
+    nodes, edges = sc.cut(nodes), sc.cut(edges.select("source", "relation", "target"))
+    from ..operators.features import homogeneous_graph
+
+    types = [r for r, _ in rules.canonical_classes()]
+    ids, e = homogeneous_graph(nodes, edges, types)
+    cat = categorical_ids(nodes)
+    sizes = [curate.label_ids(nodes, c).count() for c in CATEGORICAL]
+    tri = trigram_ids(nodes.select("word"), trigram_vocabulary(nodes.select("word")))
+    pos = curate.label_ids(nodes, "pos").filter(F.col("label").isin("", "unknown", "<UNK>")).select(F.col("label_id").alias("pos_id"), F.lit(-1).alias("label"))
+    x = ids.join(cat, "word").join(tri, "word", "left").join(F.broadcast(pos), "pos_id", "left")
+    x = x.select("id", "word", F.array(*[f"{c}_id" for c in CATEGORICAL]).alias("cat"), F.coalesce("tri_ids" if "tri_ids" in tri.columns else "ids", F.array().cast("array<int>")).alias("tri"), F.coalesce("label", "pos_id").alias("label"))
+    return sc.cut(x), sc.cut(e), sizes, 2 * (len(types) + 1), sizes[0]
+
+
+def _training(spark, d, kind, epochs, feat=128, hid=256, out=128, **more):
+    """One model trained on nine tenths of the links and validated on a tenth, with its negatives."""
+    from ..operators import models
+
+    sc = Scratch(spark)
+    nodes, edges, sizes, types, parts = _model_input(spark, d, sc)
+    split = sc.cut(sampling.global_split(edges.filter(F.col("etype") < types // 2).withColumnsRenamed({"src": "source", "dst": "target"}), unit=("source", "target")))
+    kept = split.filter("split = 'train'").select("source", "target", "etype")
+    both = kept.select(F.col("source").alias("src"), F.col("target").alias("dst"), "etype")
+    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("etype") + types // 2).alias("etype")))
+    model = models.Encoder(nodes.select("id", "cat", "tri"), both, kind, feat, hid, out, sc, types=types if kind == "rgcn" else 1, labels=sizes, trigrams=6001, **more)
+    words = nodes.select(F.col("id").cast("string").alias("word"), F.col("label").cast("string").alias("pos")).withColumn("pos", F.when(F.col("pos") == "-1", "unknown").otherwise(F.col("pos")))
+
+    def negatives(of, seed):
+        n = sampling.hard_negatives(of.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")), words, seed=seed).filter("valid")
+        return n.select(*[F.col(c).cast("long").alias(c) for c in ("source", "target", "negative")])
+
+    def pairs_of(epoch):
+        p = kept.join(negatives(kept, 42 + epoch), ["source", "target"])
+        return sc.cut(p.select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("negative").alias("w"), "etype"), "pairs")
+
+    held = split.filter("split = 'val'").select("source", "target").distinct()
+    wrong = sampling.uniform_negatives(split.select("source", "target"), words.select(F.col("word"), F.lit("unknown").alias("pos")).selectExpr("CAST(word AS BIGINT) AS word", "pos"), max(1, held.count()), "val")
+    val = sc.cut(held.withColumn("label", F.lit(1)).unionByName(wrong.select("source", "target", F.lit(0).alias("label"))))
+    t = models.train(model, pairs_of, val, epochs, every=max(1, epochs // 2), types=types // 2, labels=nodes.select("id", "label"), parts=parts)
+    return model, t, val
+
+
+def _history(spark, t):
+    return spark.createDataFrame([("loss", i, float(x)) for i, x in enumerate(t.losses)] + [("val_auc", i, float(x)) for i, x in enumerate(t.aucs)], "metric string, step int, value double")
+
+
+#: Epochs of the registered training queries; the operators' own default is 200 with patience 30.
+EPOCHS = 4
+
+
 @query()
-def j1_char_cnn(spark, d):
-    import numpy as np
+def j3_train_gcn(spark, d):
+    """Embedder, two-layer GCN, decoder and both heads trained together; losses by epoch and validation AUC."""
+    return _history(spark, _training(spark, d, "gcn", EPOCHS)[1])
 
-    from ..operators.features import trigram_ids, trigram_vocabulary
 
-    w = _nodes(spark, d).select("word").distinct()
-    rng = np.random.default_rng(42)
-    ids = trigram_ids(w, trigram_vocabulary(w))
-    return layers.char_cnn(ids, {3: rng.standard_normal((32, 3, 16)) * 0.1, 5: rng.standard_normal((32, 5, 16)) * 0.1}, rng.standard_normal((6001, 16))).select("word", F.size("vec").alias("dim"))
+@query()
+def j4_train_sage(spark, d):
+    return _history(spark, _training(spark, d, "sage", EPOCHS, 64, 128, 64)[1])
 
 
 @query()
-def j9_train_link_predictor(spark, d):
-    from ..operators.training import train_link_predictor
+def j5_train_gat(spark, d):
+    return _history(spark, _training(spark, d, "gat", EPOCHS, 64, 128, 64, heads=2)[1])
+
+
+@query()
+def j6_train_rgcn(spark, d):
+    return _history(spark, _training(spark, d, "rgcn", EPOCHS, 16, 16, 16, bases=4)[1])
+
+
+@query()
+def j2_node_embedding(spark, d):
+    """(word, x0 ... x63): the embedder of labels and trigrams with its first parameters."""
+    from ..operators import models
 
-    v, e = _jg(spark, d)
     sc = Scratch(spark)
-    e = sc.cut(e.select(F.col("src").alias("source"), F.col("dst").alias("target")))
-    neg = sc.cut(sampling.hard_negatives(e, v.select("word", F.lit("unknown").alias("pos")), tries=4).filter("valid"))
-    val = e.withColumn("label", F.lit(1)).unionByName(neg.select("source", F.col("negative").alias("target"), F.lit(0).alias("label")))
-    m = train_link_predictor(e, neg, v, val, 64, epochs=4, every=4)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.losses)], "epoch int, loss double")
+    nodes, edges, sizes, _, _ = _model_input(spark, d, sc)
+    m = models.Encoder(nodes.select("id", "cat", "tri"), edges.limit(0), "sage", 64, 8, 8, sc, labels=sizes, trigrams=6001)
+    return _coordinates(m.features().join(nodes.select("id", "word"), "id"))
+
+
+def _both_vectors(spark, d, sc):
+    """(id, gnn, aux) of every word with a vector: the vector, and the mean over its neighbours."""
+    v, e = _jg(spark, d)
+    ids = sc.cut(curate.dense_ids(v))
+    b = v.join(ids, "word").select("word", "id", F.col("vec").alias("gnn")).join(layers.sage_mean(v, e, 64).select("word", F.col("vec").alias("aux")), "word")
+    e = e.join(ids.select(F.col("word").alias("src"), F.col("id").alias("source")), "src").join(ids.select(F.col("word").alias("dst"), F.col("id").alias("target")), "dst").select("source", "target")
+    return sc.cut(b.select("id", "gnn", "aux")), sc.cut(e.distinct())
 
 
 @query()
-def j11_pos_head(spark, d):
-    from ..operators.training import train_head
+def j12_ensemble_ablation(spark, d):
+    """The six ways to join two models' vectors, trained on the same links; test metrics, the threshold fixed on validation."""
+    from ..operators import models
 
-    n = _nodes(spark, d).groupBy("word").agg(F.min("pos").alias("pos"))
-    ids = curate.label_ids(n, "pos")
-    k = ids.count()
-    x = _vectors(spark, d).join(n, "word").join(F.broadcast(ids.select(F.col("label").alias("pos"), "label_id")), "pos")
-    _, losses = train_head(x.select(F.col("vec").alias("x"), F.when(F.col("pos").isin("", "unknown"), -1).otherwise(F.col("label_id")).alias("y")), 64, k, epochs=5)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "epoch int, loss double")
+    sc = Scratch(spark)
+    both, e = _both_vectors(spark, d, sc)
+    s = sc.cut(sampling.global_split(e, unit=("source", "target")))
+    words = both.select(F.col("id").alias("word"), F.lit("unknown").alias("pos"))
+    wrong = {k: sampling.uniform_negatives(e, words, max(1, s.filter(F.col("split") == k).count()), k) for k in ("val", "test")}
+    part = {k: sc.cut(s.filter(F.col("split") == k).select("source", "target", F.lit(1).alias("label")).unionByName(w.select("source", "target", F.lit(0).alias("label")))) for k, w in wrong.items()}
+    train = s.filter("split = 'train'").select("source", "target")
+    neg = sc.cut(sampling.hard_negatives(train, words).filter("valid"))
+    pairs = neg.select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("negative").alias("w"))
+    return models.ablation(both, 64, 64, lambda epoch: pairs, part["val"], part["test"], sc, epochs=EPOCHS)
 
 
 @query()
 def j14_walk_embedding(spark, d):
     from ..operators.embed import walk_embedding
 
-    return walk_embedding(_graph(spark, d), walks=2, length=10, dim=16).select("word", F.size("vec").alias("dim"))
+    return walk_embedding(_graph(spark, d)).select("word", F.size("vec").alias("dim"))
 
 
-@query()
+@query(rf"""WITH {_V}, vt AS (SELECT vec, unnest(list_transform(range(1, length(word) + 1), lambda i: substr('#' || word || '#', i, 3))) AS t FROM v), tv AS (SELECT t, [{', '.join(f'avg(vec[{i + 1}])' for i in range(64))}] AS m FROM vt GROUP BY t), {_TRI}
+  SELECT word, {', '.join(f'round(avg(m[{i + 1}]), 5) AS x{i}' for i in range(64))} FROM tri JOIN tv USING (t) GROUP BY word""")
 def j15_subword_embedding(spark, d):
     from ..operators.embed import subword_embedding
 
-    return subword_embedding(_vectors(spark, d), _nodes(spark, d).select("word"), 64).select("word", F.size("vec").alias("dim"))
+    return _coordinates(subword_embedding(_vectors(spark, d), _nodes(spark, d).select("word"), 64))
 
 
 @query()
 def j16_text_embedding(spark, d):
     from ..operators.embed import hashed_text_provider, text_embedding
 
-    return text_embedding(curate.keep_first(_nodes(spark, d).select("word", "definition_hy", "node_id"), ["word"], ["node_id"]), hashed_text_provider(64), 64).select("word", F.size("vec").alias("dim"))
+    return _coordinates(text_embedding(curate.keep_first(_nodes(spark, d).select("word", "definition_hy", "node_id"), ["word"], ["node_id"]), hashed_text_provider(64), 64))
 
 
 @query()
@@ -1166,14 +1278,14 @@ def j17_pca(spark, d):
 def j18_kmeans(spark, d):
     from ..operators.embed import kmeans
 
-    return kmeans(_vectors(spark, d), 10, starts=2)
+    return kmeans(_vectors(spark, d), 10)
 
 
 @query()
 def j19_tsne(spark, d):
     from ..operators.embed import tsne
 
-    return tsne(_vectors(spark, d), steps=100)
+    return tsne(_vectors(spark, d))
 
 
 __all__ = ["ORACLES", "QUERIES", "connected_components", "draw"]
