@@ -135,15 +135,16 @@ class ItemIndex:
             row, item = row[score >= sure], item[score >= sure]
         return row, item
 
-    def leaks(self, ids: np.ndarray) -> dict[int, int]:
-        """Term ids of one text (-1 for words of no item) to {item position: words covered by verified runs}."""
+    def runs(self, ids: np.ndarray) -> np.ndarray:
+        """Term ids (-1 for words of no item) to sorted (place, item position) of all verified runs; several texts may follow each other with a -1 between them."""
         run, n = self.run, len(ids)
+        none = np.zeros((0, 2), np.int64)
         if not self.n or n < run:
-            return {}
+            return none
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
         whole = known[run:] - known[:-run] == run  # runs of words that some item has
         if not whole.any():
-            return {}
+            return none
         hashes = _run_hash(ids, run)
         padded = np.concatenate([ids, np.full(2 * run, -1, ids.dtype)])
         passages = np.unique(np.flatnonzero(whole) // run)
@@ -160,14 +161,22 @@ class ItemIndex:
                 there = (at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == key)
                 s, item, key, at = s[there], item[there], key[there], at[there]
                 same = (self.tok[self.gram_at[at][:, None] + np.arange(run)] == ids[s[:, None] + np.arange(run)]).all(1)
-                hits.append(np.stack([item[same], s[same]], 1))
+                hits.append(np.stack([s[same], item[same]], 1))
                 s, item, key, at = s[~same], item[~same], key[~same], at[~same] + 1
+        return np.unique(np.concatenate(hits), axis=0) if hits else none
+
+    def leaks(self, ids: np.ndarray) -> dict[int, int]:
+        """Term ids of one text to {item position: words covered by verified runs}."""
         found: dict[int, set[int]] = {}
-        for item, s in np.unique(np.concatenate(hits), axis=0).tolist() if hits else []:
-            found.setdefault(item, set()).update(range(s, s + run))
+        for s, item in self.runs(ids).tolist():
+            found.setdefault(item, set()).update(range(s, s + self.run))
         return {i: len(c) for i, c in found.items()}
 
 
+#: Words of documents looked up together.
+STREAM = 200_000
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, n_words): items of which at least ``run`` words in a row stand in the document.
 
@@ -189,13 +198,27 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> Data
             memo: dict[str, str] = {}
             ix = index.value
             get = ix.terms.get
+
+            def search(ids, starts, docs):
+                """(doc_id, item_id, n_words) of texts that follow each other, a -1 after each."""
+                hits: dict[tuple[int, int], set[int]] = {}
+                r = ix.runs(np.array(ids, np.int32))
+                at = np.searchsorted(starts, r[:, 0], "right") - 1
+                for d, (s, item) in zip(at.tolist(), r.tolist(), strict=True):
+                    hits.setdefault((d, item), set()).update(range(s, s + run))
+                return pd.DataFrame({"doc_id": np.array([docs[d] for d, _ in hits], np.int64), "item_id": np.array([ix.ids[i] for _, i in hits], np.int64), "n_words": np.array([len(c) for c in hits.values()], np.int64)})
+
             for batch in batches:
-                docs, found, cover = [], [], []
+                ids, starts, docs = [], [], []
                 for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    ids = np.array([get(w, -1) for w in words_of(text, memo)], np.int32)
-                    for item, k in ix.leaks(ids).items():
-                        docs.append(doc), found.append(ix.ids[item]), cover.append(k)
-                yield pd.DataFrame({"doc_id": np.array(docs, np.int64), "item_id": np.array(found, np.int64), "n_words": np.array(cover, np.int64)})
+                    starts.append(len(ids)), docs.append(doc)
+                    ids.extend(get(w, -1) for w in words_of(text, memo))
+                    ids.append(-1)
+                    if len(ids) > STREAM:
+                        yield search(ids, starts, docs)
+                        ids, starts, docs = [], [], []
+                if docs:
+                    yield search(ids, starts, docs)
 
         hit = documents.filter(F.col("text").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(scan, "doc_id long, item_id long, n_words long")
         out = hit if out is None else out.unionByName(hit)
