@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw
+from ..functions.hashing import draw, unit
 from ..scratch import Scratch
 from .components import connected_components
 
@@ -115,6 +115,8 @@ def strong_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 200)
         done = found if done is None else done.unionByName(found)
         gone = found.select("node")
         left = scratch.cut(left.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "left")
+    else:
+        raise RuntimeError("strong components did not settle")
     if done is not None:
         name = name.join(done, "node", "left").select("word", F.coalesce("top", "node").alias("node"))
     low = name.groupBy("node").agg(F.min("word").alias("component"))
@@ -158,16 +160,22 @@ def radial_layout(members: DataFrame, step: float = 1.0) -> DataFrame:
     return m.select("root", "word", "distance", F.round(r * F.cos(angle), 4).alias("x"), F.round(r * F.sin(angle), 4).alias("y"))
 
 
-def random_walks(edges: DataFrame, starts: DataFrame, walks: int, length: int, seed: int, scratch: Scratch) -> DataFrame:
-    """(word, walk, path): uniform walks over distinct pairs, ending early at a word without targets.
+def random_walks(edges: DataFrame, starts: DataFrame, walks: int, length: int, seed: int, scratch: Scratch, p: float = 1.0, q: float = 1.0) -> DataFrame:
+    """(word, walk, path): walks over distinct pairs, ending early at a word without targets.
 
     The neighbour of a step is a hash of (seed, start, walk, step) modulo the
-    degree, looked up in an indexed adjacency table.
+    degree, looked up in an indexed adjacency table. With a return weight 1 / ``p``
+    and an in-out weight 1 / ``q`` other than 1 (weight 1 for words that the word
+    before links to as well) a drawn neighbour is accepted in proportion to its
+    weight and drawn again otherwise, so no neighbourhood is ever spread out.
     """
     w = Window.partitionBy("source").orderBy("target")
-    adj = scratch.cut(simple_pairs(edges).withColumn("i", F.row_number().over(w) - 1))
+    pairs = scratch.cut(simple_pairs(edges))
+    adj = scratch.cut(pairs.withColumn("i", F.row_number().over(w) - 1))
     deg = scratch.cut(adj.groupBy("source").agg(F.count(F.lit(1)).alias("deg")))
     cur = starts.select("word").distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).withColumn("path", F.array("word")).withColumn("live", F.lit(True))
+    if p != 1 or q != 1:
+        return _biased_walks(cur, pairs, adj, deg, length, seed, scratch, p, q)
     for step in range(1, length):
         at = cur.withColumn("source", F.element_at("path", -1)).join(deg, "source", "left")
         at = at.withColumn("i", F.when(F.col("live") & F.col("deg").isNotNull(), F.pmod(draw(seed, "word", "walk", F.lit(step)), F.col("deg"))))
@@ -175,3 +183,28 @@ def random_walks(edges: DataFrame, starts: DataFrame, walks: int, length: int, s
         if step % 8 == 0 or step == length - 1:
             cur = scratch.cut(cur, "walks")
     return cur.select("word", "walk", "path")
+
+
+def _biased_walks(cur: DataFrame, pairs: DataFrame, adj: DataFrame, deg: DataFrame, length: int, seed: int, scratch: Scratch, p: float, q: float) -> DataFrame:
+    top = max(1 / p, 1.0, 1 / q)
+    known = pairs.select(F.col("source").alias("prev"), "target", F.lit(True).alias("near"))
+    done = None
+    for step in range(1, length):
+        at = cur.select("word", "walk", "path").withColumn("source", F.element_at("path", -1)).withColumn("prev", F.get("path", F.size("path") - 2)).join(deg, "source", "left")
+        at = scratch.cut(at, "at")
+        ended = scratch.cut(at.filter(F.col("deg").isNull()).select("word", "walk", "path"))
+        done = ended if done is None else done.unionByName(ended)
+        open_, moved, turn = at.filter(F.col("deg").isNotNull()), None, 0
+        while open_.limit(1).count():
+            key = ("word", "walk", F.lit(step), F.lit(turn))
+            c = open_.withColumn("i", F.pmod(draw(seed, *key), F.col("deg"))).join(adj, ["source", "i"]).join(known, ["prev", "target"], "left")
+            weight = F.when(F.col("target") == F.col("prev"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+            c = c.withColumn("taken", F.col("prev").isNull() | (unit(f"{seed}|accept", *key) < weight / top))
+            c = scratch.cut(c.select("word", "walk", "path", "source", "prev", "deg", "target", "taken"))
+            new = c.filter("taken").select("word", "walk", F.concat("path", F.array("target")).alias("path"))
+            moved = new if moved is None else moved.unionByName(new)
+            open_, turn = c.filter("NOT taken").drop("target", "taken"), turn + 1
+        if moved is None:
+            return done
+        cur = scratch.cut(moved, "walks")
+    return cur.select("word", "walk", "path").unionByName(done)

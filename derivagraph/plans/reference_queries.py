@@ -872,6 +872,12 @@ def i9_random_walks_whole(spark, d):
     return graph.random_walks(_graph(spark, d), _all_words(spark, d), 10, 40, 42, Scratch(spark)).select("word", "walk", F.array_join("path", ">").alias("path"))
 
 
+@query()
+def i10_biased_walks(spark, d):
+    """Two walks of 5 words from every word, return weight 2 and in-out weight 1 / 2."""
+    return graph.random_walks(_graph(spark, d), _all_words(spark, d), 2, 5, 42, Scratch(spark), 0.5, 2.0).select("word", "walk", F.array_join("path", ">").alias("path"))
+
+
 _POOL = f"{_N}, x AS (SELECT word, coalesce(min(CASE WHEN pos NOT IN ('', 'unknown') THEN pos END), 'unknown') AS pos FROM n GROUP BY word), pool AS (SELECT pos, word, row_number() OVER (PARTITION BY pos ORDER BY word) - 1 AS i FROM x UNION ALL SELECT '*', word, row_number() OVER (ORDER BY word) - 1 FROM x), psize AS (SELECT pos, count(*) AS n FROM pool GROUP BY pos)"
 
 
@@ -1183,8 +1189,8 @@ def _history(spark, t):
     return spark.createDataFrame([("loss", i, float(x)) for i, x in enumerate(t.losses)] + [("val_auc", i, float(x)) for i, x in enumerate(t.aucs)], "metric string, step int, value double")
 
 
-#: Epochs of the registered training queries; the operators' own default is 200 with patience 30.
-EPOCHS = 4
+#: Epochs of the registered training queries, each a dozen jobs over the whole graph; the operators' own default is 200 with patience 30.
+EPOCHS = 1
 
 
 @query()
@@ -1195,7 +1201,7 @@ def j3_train_gcn(spark, d):
 
 @query()
 def j4_train_sage(spark, d):
-    return _history(spark, _training(spark, d, "sage", EPOCHS, 64, 128, 64)[1])
+    return _history(spark, _training(spark, d, "sage", 2 * EPOCHS, 64, 128, 64)[1])
 
 
 @query()

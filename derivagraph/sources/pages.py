@@ -1,75 +1,71 @@
-"""Pages of a wiki as a batch source, words in batches, with retry; offline from a table of pages."""
+"""Pages of a wiki for a table of words: requests in batches on the executors, answers parsed as a DataFrame; offline from a table of pages."""
 
 from __future__ import annotations
 
-import json
 import time
 import urllib.parse
 import urllib.request
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-BATCH, TRIES, BACK_OFF, TIMEOUT = 50, 3, 5.0, 15.0
-
-
-def fetch(url: str, params: dict, opener=urllib.request.urlopen, sleep=time.sleep) -> dict:
-    """One call of the API: ``TRIES`` tries, linear back-off, {} on failure."""
-    for attempt in range(1, TRIES + 1):
+from ..operators.curate import dense_ids
+
+BATCH, TIMEOUT = 50, 15.0
+#: Seconds to wait before the second and the third try.
+WAITS = (5.0, 10.0)
+# The request's fields, and the shape of the answer as far as it is read.
+REQUEST = {"action": "query", "format": "json", "prop": "revisions", "rvprop": "content", "rvslots": "main"}
+ANSWER = (
+    "struct<query: struct<normalized: array<struct<`from`: string, `to`: string>>, pages: map<string, struct<title: string, ns: int, missing: string,"
+    " revisions: array<struct<`*`: string, slots: struct<main: struct<`*`: string>>>>>>>>"
+)
+
+
+def ask(url: str, words: list[str], opener=urllib.request.urlopen, sleep=time.sleep) -> str | None:
+    """The answer for some titles as text; None where every try fails."""
+    address = f"{url}?{urllib.parse.urlencode(REQUEST | {'titles': '|'.join(words)})}"
+    for wait in (0.0, *WAITS):
+        if wait:
+            sleep(wait)
         try:
-            with opener(f"{url}?{urllib.parse.urlencode(params)}", timeout=TIMEOUT) as r:
-                return json.loads(r.read())
-        except Exception:
-            if attempt < TRIES:
-                sleep(BACK_OFF * attempt)
-    return {}
-
-
-def pages_of(answer: dict, words: list[str]) -> list[tuple[str, str | None]]:
-    """(word, text) for every word asked for: titles un-normalised, other namespaces and missing pages null."""
-    q = answer.get("query", {})
-    asked = {n["to"]: n["from"] for n in q.get("normalized", [])}
-    text: dict[str, str | None] = {}
-    for p in q.get("pages", {}).values():
-        if p.get("ns", 0) != 0 or "missing" in p:
+            with opener(address, timeout=TIMEOUT) as reply:
+                return reply.read().decode()
+        except OSError:  # no connection, a refusal, a time-out
             continue
-        rev = (p.get("revisions") or [{}])[0]
-        body = rev.get("slots", {}).get("main", {}).get("*", rev.get("*"))
-        text[asked.get(p["title"], p["title"])] = body
-    return [(w, text.get(w)) for w in words]
-
-
-class _Batch(InputPartition):
-    def __init__(self, words: list[str]):
-        self.words = words
+    return None
 
 
-class WikiReader(DataSourceReader):
-    def __init__(self, options):
-        self.url = options["url"]
-        self.words = json.loads(options["words"])
+def answers(words: DataFrame, url: str, opener=urllib.request.urlopen, sleep=time.sleep) -> DataFrame:
+    """(words ARRAY, answer) of distinct words in word order, ``BATCH`` to a request; the requests run on the executors."""
+    batches = dense_ids(words.filter(F.col("word").isNotNull())).groupBy(F.floor(F.col("id") / BATCH).alias("batch")).agg(F.sort_array(F.collect_list("word")).alias("words"))
 
-    def partitions(self):
-        return [_Batch(self.words[i : i + BATCH]) for i in range(0, len(self.words), BATCH)]
+    def run(parts):
+        for b in parts:
+            yield pd.DataFrame({"words": b["words"], "answer": [ask(url, list(w), opener, sleep) for w in b["words"]]})
 
-    def read(self, part):
-        params = {"action": "query", "format": "json", "prop": "revisions", "rvprop": "content", "rvslots": "main", "titles": "|".join(part.words)}
-        yield from pages_of(fetch(self.url, params), part.words)
+    return batches.select("words").mapInPandas(run, "words array<string>, answer string")
 
 
-class WikiPages(DataSource):
-    """spark.read.format('wiki_pages').option('url', ...).option('words', json list)"""
+def parsed(found: DataFrame) -> DataFrame:
+    """(words, answer) to (word, page, answered): a word's page is the one under its normalised title in the main namespace, null where there is none.
 
-    @classmethod
-    def name(cls):
-        return "wiki_pages"
+    ``answered`` is false where the request failed, so that such words can be
+    asked for again instead of counting as missing.
+    """
+    q = F.from_json("answer", ANSWER)["query"]
+    x = found.select("words", F.col("answer").isNotNull().alias("answered"), F.coalesce(q["normalized"], F.array().cast("array<struct<`from`: string, `to`: string>>")).alias("names"), F.map_values(q["pages"]).alias("pages"))
+    x = x.select(F.explode("words").alias("word"), "answered", "names", "pages")
+    title = F.coalesce(F.get(F.filter("names", lambda n: n["from"] == F.col("word")), F.lit(0))["to"], F.col("word"))
+    page = F.get(F.filter("pages", lambda p: (p["title"] == title) & (p["ns"] == 0) & p["missing"].isNull()), F.lit(0))
+    revision = F.get(page["revisions"], F.lit(0))
+    return x.select("word", F.coalesce(revision["slots"]["main"]["*"], revision["*"]).alias("page"), "answered")
 
-    def schema(self):
-        return "word string, page string"
 
-    def reader(self, schema):
-        return WikiReader(self.options)
+def wiki_pages(words: DataFrame, url: str) -> DataFrame:
+    """(word, page, answered) of a table of words."""
+    return parsed(answers(words, url))
 
 
 def stored_pages(words: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Core operators on small tables: brute force, nulls, repeats, blanks, empty tables, clashing columns."""
 
+import json
 import math
 import random
 
@@ -346,9 +347,13 @@ def test_crawl_and_sources(spark, tmp_path):
         calls.append(1)
         raise OSError
 
-    assert pages.fetch("http://none", {}, opener=fail, sleep=lambda s: None) == {} and len(calls) == pages.TRIES
-    answer = {"query": {"normalized": [{"from": "x y", "to": "X y"}], "pages": {"1": {"title": "X y", "ns": 0, "revisions": [{"*": "body"}]}, "2": {"title": "t", "ns": 1}, "-1": {"title": "m", "missing": ""}}}}
-    assert pages.pages_of(answer, ["x y", "t", "m"]) == [("x y", "body"), ("t", None), ("m", None)]
+    assert pages.ask("http://none", ["a"], opener=fail, sleep=lambda s: None) is None and len(calls) == 3
+    answer = {"query": {"normalized": [{"from": "x y", "to": "X y"}], "pages": {"1": {"title": "X y", "ns": 0, "revisions": [{"slots": {"main": {"*": "body"}}}]}, "2": {"title": "t", "ns": 1, "revisions": [{"*": "talk"}]}, "-1": {"title": "m", "ns": 0, "missing": ""}, "3": {"title": "o", "ns": 0, "revisions": [{"*": "old"}]}}}}
+    found = spark.createDataFrame([(["x y", "t", "m", "o"], json.dumps(answer)), (["n"], None), (["e"], "{}")], "words array<string>, answer string")
+    got = {r["word"]: (r["page"], r["answered"]) for r in pages.parsed(found).collect()}
+    assert got == {"x y": ("body", True), "t": (None, True), "m": (None, True), "o": ("old", True), "n": (None, False), "e": (None, True)}
+    asked = pages.answers(spark.createDataFrame([(f"w{i:03}",) for i in range(120)] + [(None,), ("w000",)], "word string"), "http://none", opener=fail, sleep=lambda s: None)
+    assert sorted(len(r["words"]) for r in asked.collect()) == [20, 50, 50]
 
 
 def test_stream(spark, tmp_path):
@@ -464,3 +469,42 @@ def test_row_local_gradients():
             b = value()
             params[k][at] = old
             assert math.isclose(t[k].g[at], (a - b) / 2e-6, rel_tol=1e-3, abs_tol=1e-6), k
+
+
+def test_biased_walks(spark):
+    e = spark.createDataFrame([(a, b) for x in ("ab", "bc", "ca", "cd", "de") for a, b in (x, x[::-1])], "source string, target string")
+    starts = e.select(F.col("source").alias("word")).distinct()
+    edges = {(r["source"], r["target"]) for r in e.collect()}
+
+    def returns(p, q):
+        w = [r["path"] for r in graph.random_walks(e, starts, 12, 4, 3, Scratch(spark), p, q).collect()]
+        assert len(w) == 60 and all(len(x) == 4 and all(s in edges for s in zip(x, x[1:], strict=False)) for x in w)
+        return sum(x[i] == x[i + 2] for x in w for i in range(2))
+
+    assert returns(0.25, 1.0) > 1.2 * returns(4.0, 1.0)
+    sink = spark.createDataFrame([("x", "y")], "source string, target string")
+    got = graph.random_walks(sink, sink.select(F.col("source").alias("word")), 2, 4, 1, Scratch(spark), 0.5, 2.0).collect()
+    assert sorted((r["walk"], r["path"]) for r in got) == [(0, ["x", "y"]), (1, ["x", "y"])]
+
+
+def test_ranks_and_order_statistics(spark):
+    from derivagraph.operators.ranks import numbered, running_sums, smallest
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.randint(0, 50), i, "x") for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, v int, k int, i2 string")
+    want, seen = {}, {}
+    for g, v, k, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        want[k] = seen.get(g, 0)
+        seen[g] = want[k] + 1
+    got = {r["k"]: (r["i"], r["n"]) for r in numbered(df, ["g"], ["v", "k"], "i", "n").collect()}
+    assert got == {k: (want[k], seen[g]) for g, _, k, _ in rows}
+    assert numbered(df.limit(0), [], ["v"]).count() == 0
+    run = running_sums(df, F.struct((-F.col("v")).alias("v"), "k"), {"s": "v"}).collect()
+    total = 0
+    for r in sorted(run, key=lambda r: (-r["v"], r["k"])):
+        total += r["v"]
+        assert r["s"] == total and r["s_all"] == sum(x[1] for x in rows)
+    big = [rng.getrandbits(60) for _ in range(300)] + [7] * 5
+    d = spark.createDataFrame([(x,) for x in big] + [(None,)], "h long")
+    assert [smallest(d, "h", k, few=3) for k in (1, 5, 6, 150, 305)] == [sorted(big)[k - 1] for k in (1, 5, 6, 150, 305)] and smallest(d, "h", 306) is None
