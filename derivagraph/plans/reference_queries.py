@@ -1201,12 +1201,12 @@ def j3_train_gcn(spark, d):
 
 @query()
 def j4_train_sage(spark, d):
-    return _history(spark, _training(spark, d, "sage", 2 * EPOCHS, 64, 128, 64)[1])
+    return _history(spark, _training(spark, d, "sage", EPOCHS, 64, 128, 64)[1])
 
 
 @query()
 def j5_train_gat(spark, d):
-    return _history(spark, _training(spark, d, "gat", EPOCHS, 64, 128, 64, heads=2)[1])
+    return _history(spark, _training(spark, d, "gat", EPOCHS, 16, 16, 16, heads=2)[1])
 
 
 @query()
