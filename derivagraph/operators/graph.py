@@ -160,29 +160,69 @@ def radial_layout(members: DataFrame, step: float = 1.0) -> DataFrame:
     return m.select("root", "word", "distance", F.round(r * F.cos(angle), 4).alias("x"), F.round(r * F.sin(angle), 4).alias("y"))
 
 
-def random_walks(edges: DataFrame, starts: DataFrame, walks: int, length: int, seed: int, scratch: Scratch, p: float = 1.0, q: float = 1.0) -> DataFrame:
+def random_walks(edges: DataFrame, starts: DataFrame, walks: int, length: int, seed: int, scratch: Scratch, p: float = 1.0, q: float = 1.0, block: int = 2_000_000) -> DataFrame:
     """(word, walk, path): walks over distinct pairs, ending early at a word without targets.
 
-    The neighbour of a step is a hash of (seed, start, walk, step) modulo the
-    degree, looked up in an indexed adjacency table. With a return weight 1 / ``p``
+    Walks go in blocks of start words, each of ``block`` walks or as many as there
+    are links, so what is shuffled at a time is a share of the result. The
+    neighbour of a step is a hash of (seed, start, walk, step) modulo the degree,
+    looked up in an indexed adjacency table. With a return weight 1 / ``p``
     and an in-out weight 1 / ``q`` other than 1 (weight 1 for words that the word
     before links to as well) a drawn neighbour is accepted in proportion to its
     weight and drawn again otherwise, so no neighbourhood is ever spread out.
     """
     w = Window.partitionBy("source").orderBy("target")
-    pairs = scratch.cut(simple_pairs(edges))
-    adj = scratch.cut(pairs.withColumn("i", F.row_number().over(w) - 1))
-    deg = scratch.cut(adj.groupBy("source").agg(F.count(F.lit(1)).alias("deg")))
-    cur = starts.select("word").distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).withColumn("path", F.array("word")).withColumn("live", F.lit(True))
-    if p != 1 or q != 1:
+    biased = p != 1 or q != 1
+    name = lambda x: None if biased else x
+    pairs = scratch.cut(simple_pairs(edges), name("pairs"))
+    adj = scratch.cut(pairs.withColumn("i", F.row_number().over(w) - 1), name("adj"))
+    deg = scratch.cut(adj.groupBy("source").agg(F.count(F.lit(1)).alias("deg")), name("deg"))
+    first = starts.select("word").distinct()
+    if biased:
+        cur = first.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).withColumn("path", F.array("word"))
         return _biased_walks(cur, pairs, adj, deg, length, seed, scratch, p, q)
+    first = scratch.cut(first.join(deg.withColumnRenamed("source", "word"), "word", "left"))
+    links = adj.select(F.col("source").alias("at"), "i", "target").join(deg.select(F.col("source").alias("target"), F.col("deg").alias("next")), "target", "left")
+    links = scratch.cut(links.select("at", F.col("i").cast("long").alias("i"), "target", "next"))
+    scratch.drop("pairs", "adj", "deg")
+    n, m = first.count(), links.count()
+    blocks = max(1, math.ceil(n * walks / max(m, block)))
+    links, done = links.hint("shuffle_hash"), None  # its parts are even: a hub's links have an ``i`` each
+    for b in range(blocks):
+        mine = first.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b) if blocks > 1 else first
+        names: list[str] = []
+        paths = _block_of_walks(mine.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))), links, length, seed, scratch, names)
+        pieces = math.ceil(n * walks / blocks / (block / 8))
+        whole = blocks * pieces <= 1
+        for j in range(max(1, pieces)):  # what puts the parts together shuffles whole paths
+            piece = paths if whole else scratch.cut(paths.filter(F.pmod(F.xxhash64("word", "walk"), F.lit(pieces)) == j), codec="zstd")
+            done = piece if done is None else done.unionByName(piece)
+        if not whole:
+            scratch.drop(*names)
+    return done
+
+
+def _block_of_walks(cur: DataFrame, links: DataFrame, length: int, seed: int, scratch: Scratch, names: list[str]) -> DataFrame:
+    """(word, walk, path) from (word, deg, walk): written in parts of a few steps (to ``names``), each begun at the last word of the one before, and put together once."""
+    cur, parts = cur.withColumn("path", F.array("word")), []
     for step in range(1, length):
-        at = cur.withColumn("source", F.element_at("path", -1)).join(deg, "source", "left")
-        at = at.withColumn("i", F.when(F.col("live") & F.col("deg").isNotNull(), F.pmod(draw(seed, "word", "walk", F.lit(step)), F.col("deg"))))
-        cur = at.join(adj, ["source", "i"], "left").select("word", "walk", F.when(F.col("target").isNotNull(), F.concat("path", F.array("target"))).otherwise(F.col("path")).alias("path"), F.col("target").isNotNull().alias("live"))
-        if step % 8 == 0 or step == length - 1:
-            cur = scratch.cut(cur, "walks")
-    return cur.select("word", "walk", "path")
+        i = F.when(F.col("deg").isNotNull(), F.pmod(draw(seed, "word", "walk", F.lit(step)), F.col("deg")))
+        at = cur.withColumn("at", F.element_at("path", -1)).withColumn("i", i).drop("deg")
+        cur = at.join(links, ["at", "i"], "left").select("word", F.col("next").alias("deg"), "walk", F.when(F.col("target").isNotNull(), F.concat("path", F.array("target"))).otherwise(F.col("path")).alias("path"))
+        if step == 2 or step % 4 == 0 or step == length - 1:
+            names.append(f"walks{scratch.made}")
+            part = scratch.cut(cur, names[-1])
+            parts.append(part)
+            if step == length - 1 or part.filter("deg IS NOT NULL").limit(1).count() == 0:
+                break
+            cur = part.filter("deg IS NOT NULL").withColumn("path", F.array(F.element_at("path", -1)))
+    if len(parts) < 2:
+        return (parts[0] if parts else cur).select("word", "walk", "path")
+    rest = parts[0].filter("deg IS NOT NULL").withColumn("k", F.lit(0))
+    for k, x in enumerate(parts[1:], 1):
+        rest = rest.unionByName(x.withColumn("k", F.lit(k)).withColumn("path", F.slice("path", 2, length)))
+    rest = rest.groupBy("word", "walk").agg(F.sort_array(F.collect_list(F.struct("k", "path"))).alias("all"))  # a row a part
+    return parts[0].filter("deg IS NULL").select("word", "walk", "path").unionByName(rest.select("word", "walk", F.flatten("all.path").alias("path")))
 
 
 def _biased_walks(cur: DataFrame, pairs: DataFrame, adj: DataFrame, deg: DataFrame, length: int, seed: int, scratch: Scratch, p: float, q: float) -> DataFrame:

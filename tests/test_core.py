@@ -221,6 +221,21 @@ def test_graph_and_walks(spark):
     assert len(w) == 12 and all((x, y) in pairs for r in w for x, y in zip(r["path"], r["path"][1:], strict=False))
 
 
+def test_walks_in_blocks_leave_no_shuffle_files(spark):
+    rng = random.Random(8)
+    e = spark.createDataFrame([(f"w{rng.randint(0, 30)}", f"w{rng.randint(0, 60)}") for _ in range(90)], "source string, target string")
+    sc, starts = Scratch(spark), e.select(F.col("source").alias("word"))
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    before = files().size()
+    whole, parts = (graph.random_walks(e, starts, 6, 11, 3, sc, **more) for more in ({}, {"block": 20}))
+    assert files().size() <= before
+    paths = {(r["word"], r["walk"]): r["path"] for r in whole.collect()}
+    links, leads = {(r["source"], r["target"]) for r in e.collect()}, {r["source"] for r in e.collect()}
+    assert {(r["word"], r["walk"]): r["path"] for r in parts.collect()} == paths and len(paths) == 6 * len(leads)
+    for (word, _), path in paths.items():
+        assert path[0] == word and all(x in links for x in zip(path, path[1:], strict=False)) and (len(path) == 11 or path[-1] not in leads)
+
+
 def test_sampling_properties(spark):
     rng = random.Random(4)
     e = spark.createDataFrame(list({(f"w{rng.randint(0, 60)}", rng.choice("rst"), f"w{rng.randint(0, 60)}") for _ in range(200)}), "source string, relation string, target string")
