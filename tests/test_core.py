@@ -455,6 +455,15 @@ def test_models_gradients(spark, kind):
         assert math.isclose(g[at], (up - down) / (2 * eps), rel_tol=1e-4, abs_tol=1e-7), k
 
 
+def test_row_local_functions_see_few_rows_at_once(spark):
+    rows = spark.range(3000, numPartitions=1).select("id", F.array(F.col("id").cast("double")).alias("vec"))
+    got = models.forward(rows, ["vec"], {}, lambda p, x, i: tape.as_t(x["vec"] * 0.0 + len(i))).select("id", F.col("vec")[0].alias("n")).collect()
+    assert len({r["id"] for r in got}) == 3000 and max(r["n"] for r in got) <= 256
+    one = {"w": np.ones((1, 1))}
+    _, g, loss = models.backward(rows, ["vec"], {"vec": "id"}, one, lambda p, x, i: tape.as_t(x["vec"]).apply(p["w"]).sum(), Scratch(spark))
+    assert loss == g["w"][0, 0] == sum(range(3000))
+
+
 def test_row_local_gradients():
     """Embedder, heads and ensemble modes against finite differences."""
     rng = np.random.default_rng(2)
