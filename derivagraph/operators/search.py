@@ -148,12 +148,12 @@ def ranking_candidates(tests: DataFrame, known: DataFrame, words: DataFrame, n:
 
 def filtered_ranks(tests: DataFrame, known: DataFrame, index: DataFrame, n: int = 299, seed: int = 42, ws=None, wt=None) -> DataFrame:
     """(source, target, rank): 1 + the candidates that score above the true target (6 decimals); the score is <W_s u, W_t v>, the dot product without matrices."""
-    v = index.select("word", "vec")
     sc = Scratch(index.sparkSession)
+    v = sc.cut(index.select("word", "vec"))  # read four times below; the plan that makes it is large
     src = sc.cut(project(v, ws)) if ws is not None else v
     tgt = sc.cut(project(v, wt)) if wt is not None else v
     t = tests.select("source", "target").distinct().join(src.select(F.col("word").alias("source"), F.col("vec").alias("vs")), "source").join(tgt.select(F.col("word").alias("target"), F.col("vec").alias("vt")), "target")
-    t = t.select("source", "target", "vs", F.round(dot(F.col("vs"), F.col("vt")), 6).alias("true"))
+    t = sc.cut(t.select("source", "target", "vs", F.round(dot(F.col("vs"), F.col("vt")), 6).alias("true")))
     c = ranking_candidates(t, known, v, n, seed).join(tgt, "word").select("source", "target", "vec")
     s = t.join(c, ["source", "target"], "left").withColumn("above", F.coalesce((F.round(dot(F.col("vs"), F.col("vec")), 6) > F.col("true")).cast("int"), F.lit(0)))
     return s.groupBy("source", "target").agg((1 + F.sum("above")).alias("rank"))

@@ -305,6 +305,21 @@ def test_search_and_layers(spark):
     assert ranks["rank"].between(1, 21).all() and len(ranks) == 2
 
 
+def test_ranks_read_their_index_once(spark):
+    v = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(9)], "word string, vec array<double>")
+    known = spark.createDataFrame([("w1", "w2"), ("w3", "w4")], "source string, target string")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            made.add(len(x))
+            yield x
+
+    r = search.filtered_ranks(known, known, v.mapInPandas(counted, v.schema), 20)
+    assert {(x["source"], x["target"]): x["rank"] for x in r.collect()} == {("w1", "w2"): 7, ("w3", "w4"): 5}
+    assert made.value == 9
+
+
 def test_training(spark):
     v = vectors_of(spark, 30, 6)
     pos = spark.createDataFrame([(f"w{i}", f"w{(i + 1) % 30}") for i in range(30)], "source string, target string")
