@@ -129,7 +129,7 @@ def ranking_candidates(tests: DataFrame, known: DataFrame, words: DataFrame, n:
         c = c.groupBy("source", "target", "word").agg(F.min("k").alias("k"))
         return c.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= n).drop("at")
 
-    for r in range(rounds + 1):
+    for r in range(rounds + 1):  # the draws, 2 n times the pairs, look small to Catalyst, which would broadcast them
         if r < rounds:
             k = F.sequence(F.lit(2 * n * r).cast("long"), F.lit(2 * n * (r + 1) - 1).cast("long"))
             d = open_.withColumn("k", F.explode(k)).withColumn("i", F.pmod(draw(seed, "source", "target", "k"), F.lit(total)))
@@ -137,7 +137,7 @@ def ranking_candidates(tests: DataFrame, known: DataFrame, words: DataFrame, n:
             deg = taken.groupBy("source").agg(F.count(F.lit(1)).alias("deg"))
             up_to = F.least(F.lit(total), F.lit(2 * n + 1) + F.coalesce("deg", F.lit(0))) - 1
             d = open_.join(deg, "source", "left").select("source", "target", F.explode(F.sequence(F.lit(0).cast("long"), up_to.cast("long"))).alias("i")).withColumn("k", F.lit(2 * n * rounds) + F.col("i"))
-        c = d.join(ids, "i").filter("word <> target").select("source", "target", "word", "k").join(taken, ["source", "word"], "left_anti")
+        c = d.join(ids.hint("shuffle_hash"), "i").filter("word <> target").select("source", "target", "word", "k").join(taken, ["source", "word"], "left_anti")
         have = sc.cut(best(c if have is None else c.unionByName(have)), "have")
         full = have.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= n)
         open_ = sc.cut(pairs.join(full, ["source", "target"], "left_anti"), "open")
