@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..scratch import Scratch
+from ..scratch import Scratch, bounded_broadcast
 from .curate import dense_ids
 from .layers import dot, l2_normalize, project
 
@@ -155,8 +155,9 @@ def filtered_ranks(tests: DataFrame, known: DataFrame, index: DataFrame, n: int
     t = tests.select("source", "target").distinct().join(src.select(F.col("word").alias("source"), F.col("vec").alias("vs")), "source").join(tgt.select(F.col("word").alias("target"), F.col("vec").alias("vt")), "target")
     t = sc.cut(t.select("source", "target", "vs", F.round(dot(F.col("vs"), F.col("vt")), 6).alias("true")))
     c = ranking_candidates(t, known, v, n, seed).join(tgt, "word").select("source", "target", "vec")
-    s = t.join(c, ["source", "target"], "left").withColumn("above", F.coalesce((F.round(dot(F.col("vs"), F.col("vec")), 6) > F.col("true")).cast("int"), F.lit(0)))
-    return s.groupBy("source", "target").agg((1 + F.sum("above")).alias("rank"))
+    above = (F.round(dot(F.col("vs"), F.col("vec")), 6) > F.col("true")).cast("int")
+    s = c.join(bounded_broadcast(t, 50_000), ["source", "target"]).groupBy("source", "target").agg(F.sum(above).alias("above"))  # summed before a shuffle
+    return t.select("source", "target").join(s, ["source", "target"], "left").select("source", "target", (1 + F.coalesce("above", F.lit(0))).alias("rank"))
 
 
 def ranking_metrics(ranks: DataFrame, ks=(1, 5, 10)) -> DataFrame:
