@@ -4,23 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import prompt, trigrams
-from ..scratch import Scratch
-from .graph import random_walks
 from .layers import vector_sum
+from .skipgram import walk_vectors
 
 
 def walk_embedding(edges: DataFrame, walks: int = 10, length: int = 40, dim: int = 64, window: int = 5, epochs: int = 1, seed: int = 42) -> DataFrame:
     """(word, vec): skip-gram vectors of uniform walks (return and in-out weights 1)."""
-    sc = Scratch(edges.sparkSession)
-    w = sc.cut(random_walks(edges, edges.select(F.col("source").alias("word")), walks, length, seed, sc).select("path"))
-    m = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, maxIter=epochs, seed=seed, inputCol="path", outputCol="vec").fit(w)
-    return m.getVectors().select("word", vector_to_array("vector").alias("vec"))
+    return walk_vectors(edges, walks, length, dim, window, epochs, seed)
 
 
 def subword_embedding(vectors: DataFrame, words: DataFrame, dim: int) -> DataFrame:

@@ -351,6 +351,49 @@ def test_embeddings(spark):
     assert embed.walk_embedding(e, 2, 5, 4).count() >= 2
 
 
+def test_walk_vectors(spark):
+    from collections import Counter
+
+    from derivagraph.operators import skipgram
+
+    rng = random.Random(4)
+    links = {(f"{a}{x}", f"{a}{(x + rng.choice([1, 1, 2, 5])) % 12}") for a in "abc" for x in range(12) for _ in range(3)} | {("b3", "b3"), ("c1", "end"), ("only", "end")}
+    e = spark.createDataFrame(sorted(links), "source string, target string")
+    words = sorted({w for x in links for w in x})
+    ids = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, id long")
+    starts, sc = e.select(F.col("source").alias("word")), Scratch(spark)
+    want = Counter()
+    for r in graph.random_walks(e, starts, 4, 9, 7, sc).collect():
+        path = [words.index(w) for w in r["path"]]
+        want[path[0], path[0]] += 0
+        for i, x in enumerate(path):
+            for d in range(1, 4):
+                if i + d < len(path):
+                    want[min(x, path[i + d]), max(x, path[i + d])] += 4 - d
+    for packed in (1000, 0):  # walks in every task, and by joins
+        assert {(r["a"], r["b"]): r["n"] for r in skipgram.walk_counts(e, ids, 4, 9, 3, 7, sc, packed).collect()} == dict(want)
+    counts = sc.cut(skipgram.walk_counts(e, ids, 10, 20, 3, 7, sc).withColumn("n", F.col("n") / 3))
+    for blocks in (1, 3):
+        rows = skipgram.skip_gram(counts, len(words), 8, 2, 7, sc, blocks).collect()
+        assert sorted(r["id"] for r in rows) == list(range(len(words)))
+        v = {words[r["id"]]: np.array(r["vec"]) / np.linalg.norm(r["vec"]) for r in rows}
+        near, far = ([v[x] @ v[y] for x in v for y in v if x != y and x[0] in "abc" and y[0] in "abc" and (x[0] == y[0]) == same] for same in (True, False))
+        assert np.isfinite(near).all() and np.mean(near) > np.mean(far) + 0.3
+    assert {r["word"] for r in embed.walk_embedding(e, 4, 9, 8).collect()} == set(words)
+    assert embed.walk_embedding(e, 1, 1, 8).count() == len({x for x, _ in links})  # walks of their start only
+    assert embed.walk_embedding(e.limit(0), 4, 9, 8).count() == 0
+    g = np.random.default_rng(1)
+    a = [g.normal(size=(n, 3)) for n in (4, 4, 5)]
+    w, own = g.random(4), g.random((4, 5)) < 0.3
+    log = lambda x: np.log(1 / (1 + np.exp(-x)))
+    loss = lambda x, y, z: (w * log((x * y).sum(1))).sum() + (w[:, None] * skipgram.NEGATIVES / 5 * log(-(x @ z.T)) * ~own).sum()
+    for k, d in enumerate(skipgram.gradients(*a, w, own)):
+        for at in np.ndindex(d.shape):
+            b = [x.copy() for x in a]
+            b[k][at] += 1e-6
+            assert math.isclose((loss(*b) - loss(*a)) / 1e-6, d[at], rel_tol=1e-3, abs_tol=1e-5)
+
+
 def test_crawl_and_sources(spark, tmp_path):
     lex = spark.createDataFrame(WORDS, "word string, pos string")
     pg = spark.createDataFrame([("գիր", PAGE), ("գրագետ", None)], "word string, page string")
