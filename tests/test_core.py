@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from derivagraph.functions import rules, text
 from derivagraph.functions.spelling import plain_spelling, to_plain
-from derivagraph.operators import crawl, curate, derive, embed, graph, layers, metrics, models, orphans, sampling, search, tape, training
+from derivagraph.operators import crawl, curate, derive, embed, fullbatch, graph, layers, metrics, models, orphans, sampling, search, tape, training
 from derivagraph.operators.components import connected_components
 from derivagraph.operators.hierarchy import build_hierarchy, descendants, ring_members, subtree
 from derivagraph.scratch import Scratch
@@ -513,6 +513,37 @@ def test_models_gradients(spark, kind):
         assert math.isclose(g[at], (up - down) / (2 * eps), rel_tol=1e-4, abs_tol=1e-7), k
 
 
+@pytest.mark.parametrize("kind, epochs", [("sage", 2), ("gcn", 1), ("rgcn", 1)])
+def test_epochs_in_one_stage_are_those_of_tables(spark, kind, epochs, monkeypatch):
+    """Losses, AUCs and parameters are those of ``models.train``; few columns and pairs at a time."""
+    monkeypatch.setattr(fullbatch, "COLUMNS", 1)
+    monkeypatch.setattr(fullbatch, "PAIRS", 5)
+    rng = np.random.default_rng(4)
+    n = 40
+    nodes = [(i, [int(rng.integers(3)), int(rng.integers(2))], rng.integers(0, 12, int(rng.integers(0, 40))).tolist()) for i in range(n)]
+    links = sorted({(int(rng.integers(n)) // 2, int(rng.integers(n)), int(rng.integers(3))) for _ in range(90)} | {(0, i, 0) for i in range(n - 3)})
+    links = [x for x in links if x[0] != x[1]]
+    nodes = spark.createDataFrame(nodes, "id long, cat array<int>, tri array<int>")
+    labels = spark.createDataFrame([(i, i % 3 - 1) for i in range(n)], "id long, label int")
+    kept = spark.createDataFrame(links, "source long, target long, etype int")
+    both = spark.createDataFrame([(u, v, t) for u, v, t in links] + [(v, u, t + 3) for u, v, t in links], "src long, dst long, etype int")
+    words = labels.select(F.col("id").cast("string").alias("word"), F.when(F.col("label") < 0, "unknown").otherwise(F.col("label").cast("string")).alias("pos"))
+    val = spark.createDataFrame([(i, (7 * i + 3) % n, i % 2) for i in range(n)], "source long, target long, label int")
+
+    def pairs_of(epoch):
+        x = sampling.hard_negatives(kept.select(F.col("source").cast("string"), F.col("target").cast("string")), words, seed=42 + epoch).filter("valid")
+        p = kept.join(x.select(*[F.col(k).cast("long").alias(k) for k in ("source", "target", "negative")]), ["source", "target"])
+        return p.select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("negative").alias("w"), "etype")
+
+    more = {"every": 1, "types": 3, "labels": labels, "parts": 2}
+    of = lambda: models.Encoder(nodes, both, kind, 20, 18, 10, Scratch(spark), types=6 if kind == "rgcn" else 1, bases=2, labels=[3, 2], trigrams=10)
+    a, b = of(), of()
+    want = models.train(a, pairs_of, val, epochs, **more)
+    got = fullbatch.train(b, kept, words, val, epochs, tasks=3, real="float64", **more)
+    assert np.allclose(got.losses, want.losses, rtol=1e-9) and np.allclose(got.aucs, want.aucs, atol=2e-6)
+    assert set(a.p) == set(b.p) and all(np.allclose(a.p[k], b.p[k], rtol=1e-6, atol=1e-8) for k in a.p)
+
+
 def test_row_local_functions_see_few_rows_at_once(spark):
     rows = spark.range(3000, numPartitions=1).select("id", F.array(F.col("id").cast("double")).alias("vec"))
     got = models.forward(rows, ["vec"], {}, lambda p, x, i: tape.as_t(x["vec"] * 0.0 + len(i))).select("id", F.col("vec")[0].alias("n")).collect()
