@@ -11,6 +11,7 @@ from derivagraph.functions.spelling import plain_spelling, to_plain
 from derivagraph.operators import crawl, curate, derive, embed, fullbatch, graph, layers, metrics, models, orphans, sampling, search, tape, training
 from derivagraph.operators.components import connected_components
 from derivagraph.operators.hierarchy import build_hierarchy, descendants, ring_members, subtree
+from derivagraph.plans import reference_queries
 from derivagraph.scratch import Scratch
 from derivagraph.sources import pages, runs
 from hypothesis import given
@@ -544,6 +545,21 @@ def test_epochs_in_one_stage_are_those_of_tables(spark, kind, epochs, monkeypatc
     assert set(a.p) == set(b.p) and all(np.allclose(a.p[k], b.p[k], rtol=1e-6, atol=1e-8) for k in a.p)
 
 
+@pytest.mark.parametrize("name, widths", [("j3_train_gcn", (128, 256, 128, 1))])
+def test_training_queries_run_all_epochs_at_their_widths(monkeypatch, name, widths):
+    """What the query asks of the training: 200 epochs and the published widths (features, hidden, output, bases)."""
+    asked = []
+
+    def training_of(spark, d, kind, epochs, feat=128, hid=256, out=128, bases=1):
+        asked.append((epochs, (feat, hid, out, bases)))
+        return None, models.Trained({}), None
+
+    monkeypatch.setattr(reference_queries, "_training", training_of)
+    monkeypatch.setattr(reference_queries, "_history", lambda spark, t: t)
+    reference_queries.QUERIES[name](None, "")
+    assert asked == [(200, widths)]
+
+
 def test_row_local_functions_see_few_rows_at_once(spark):
     rows = spark.range(3000, numPartitions=1).select("id", F.array(F.col("id").cast("double")).alias("vec"))
     got = models.forward(rows, ["vec"], {}, lambda p, x, i: tape.as_t(x["vec"] * 0.0 + len(i))).select("id", F.col("vec")[0].alias("n")).collect()
