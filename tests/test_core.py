@@ -545,7 +545,7 @@ def test_epochs_in_one_stage_are_those_of_tables(spark, kind, epochs, monkeypatc
     assert set(a.p) == set(b.p) and all(np.allclose(a.p[k], b.p[k], rtol=1e-6, atol=1e-8) for k in a.p)
 
 
-@pytest.mark.parametrize("name, widths", [("j3_train_gcn", (128, 256, 128, 1)), ("j4_train_sage", (64, 128, 64, 1))])
+@pytest.mark.parametrize("name, widths", [("j3_train_gcn", (128, 256, 128, 1)), ("j4_train_sage", (64, 128, 64, 1)), ("j6_train_rgcn", (64, 256, 64, 32))])
 def test_training_queries_run_all_epochs_at_their_widths(monkeypatch, name, widths):
     """What the query asks of the training: 200 epochs and the published widths (features, hidden, output, bases)."""
     asked = []
